@@ -38,24 +38,32 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.when(longer == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / longer)
 
 
-def _counts(c: Column) -> Column:
-    """How often each function word stands in an encoded sequence."""
-    return F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(chr(i)), F.lit("")))).cast("double") for i in range(1, len(FUNCTION_WORDS) + 1)])
+def _counts(a: Column, b: Column) -> Column:
+    """How often each function word of either encoded sequence stands in both: pairs (p, q)."""
+
+    def count(c: Column, ch: Column) -> Column:
+        return (F.length(c) - F.length(F.replace(c, ch, F.lit("")))).cast("double")
+
+    chars = F.filter(F.array_distinct(F.split(F.concat(a, b), "")), lambda ch: ch != "")
+    return F.transform(chars, lambda ch: F.struct(count(a, ch).alias("p"), count(b, ch).alias("q")))
+
+
+def _where_not_empty(a: Column, b: Column, d: Column) -> Column:
+    """0 where both sequences are empty, 1 where one is."""
+    return F.when((F.length(a) == 0) & (F.length(b) == 0), 0.0).when((F.length(a) == 0) | (F.length(b) == 0), 1.0).otherwise(d)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 minus the cosine of the two frequency vectors; 0 where both are empty, 1 where one is."""
-    x, y = _counts(a), _counts(b)
-    dot = F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    nx, ny = (F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e)) for v in (x, y))
-    return F.when((F.length(a) == 0) & (F.length(b) == 0), 0.0).when((F.length(a) == 0) | (F.length(b) == 0), 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - dot / (nx * ny)))
+    """1 minus the cosine of the two frequency vectors."""
+    zero = F.struct(F.lit(0.0).alias("pq"), F.lit(0.0).alias("pp"), F.lit(0.0).alias("qq"))
+    step = lambda s, c: F.struct((s["pq"] + c["p"] * c["q"]).alias("pq"), (s["pp"] + c["p"] * c["p"]).alias("pp"), (s["qq"] + c["q"] * c["q"]).alias("qq"))
+    return _where_not_empty(a, b, F.aggregate(_counts(a, b), zero, step, lambda s: F.greatest(F.lit(0.0), 1 - s["pq"] / F.sqrt(s["pp"] * s["qq"]))))
 
 
 def manhattan_distance(a: Column, b: Column) -> Column:
     """Half the sum of differences between the two relative frequency vectors."""
-    x, y = _counts(a), _counts(b)
-    total = F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p / F.length(a) - q / F.length(b))), F.lit(0.0), lambda s, v: s + v)
-    return F.when((F.length(a) == 0) & (F.length(b) == 0), 0.0).when((F.length(a) == 0) | (F.length(b) == 0), 1.0).otherwise(F.least(F.lit(1.0), total / 2))
+    total = F.aggregate(_counts(a, b), F.lit(0.0), lambda s, c: s + F.abs(c["p"] / F.length(a) - c["q"] / F.length(b)))
+    return _where_not_empty(a, b, F.least(F.lit(1.0), total / 2))
 
 
 register("fwed", edit_distance)
@@ -80,27 +88,30 @@ def edit_operations(a: str, b: str) -> list[tuple[str, int, str | None, str | No
     """The edits that turn an encoded sequence into another: (op, at, from, to), in order.
     Among equally short scripts: matches first, then replacements, deletions, insertions."""
     n, m = len(a), len(b)
-    rows = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        before, row = rows[-1], [i]
-        for j in range(1, m + 1):
-            row.append(min(before[j - 1] + (a[i - 1] != b[j - 1]), before[j] + 1, row[j - 1] + 1))
-        rows.append(row)
+    # left[i][j]: edits between what is left of both sequences from i and j on
+    left = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n, -1, -1):
+        for j in range(m, -1, -1):
+            if i == n or j == m:
+                left[i][j] = n - i + m - j
+            else:
+                left[i][j] = min(left[i + 1][j + 1] + (a[i] != b[j]), left[i + 1][j] + 1, left[i][j + 1] + 1)
     word = lambda ch: FUNCTION_WORDS[ord(ch) - 1]
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1] and rows[i][j] == rows[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-        elif i and j and rows[i][j] == rows[i - 1][j - 1] + 1:
-            i, j = i - 1, j - 1
+    out, i, j = [], 0, 0
+    while i < n or j < m:
+        here = left[i][j]
+        if i < n and j < m and a[i] == b[j] and here == left[i + 1][j + 1]:
+            i, j = i + 1, j + 1
+        elif i < n and j < m and here == left[i + 1][j + 1] + 1:
             out.append(("replace", i, word(a[i]), word(b[j])))
-        elif i and rows[i][j] == rows[i - 1][j] + 1:
-            i -= 1
+            i, j = i + 1, j + 1
+        elif i < n and here == left[i + 1][j] + 1:
             out.append(("delete", i, word(a[i]), None))
+            i += 1
         else:
-            j -= 1
             out.append(("insert", i, None, word(b[j])))
-    return out[::-1]
+            j += 1
+    return out
 
 
 def edit_scripts(encoded_pairs: DataFrame, *keys: str) -> DataFrame:

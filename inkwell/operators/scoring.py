@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.lexicon import MAX_FAILED_FRACTION
+from ..session import spread
 from .distance import measured, with_encodings
 
 
@@ -14,7 +15,7 @@ def chunk_deltas(rewrites: DataFrame, distance: str = "fwed") -> DataFrame:
     """run_index, creation_id, chunk_index, status, reason, delta, n_words, degenerate of every
     rewrite. A failed rewrite keeps delta 0.0 and is never averaged. Texts end here: only the
     encoded sequences reach the distance."""
-    src = rewrites.select("run_index", "creation_id", "chunk_index", "status", "reason", tx.n_words(F.col("original")).alias("n_words"), "original", F.when(F.col("status") == "ok", tx.cleaned(F.col("rewrite"))).alias("_r"))
+    src = spread(rewrites.select("run_index", "creation_id", "chunk_index", "status", "reason", "original", F.when(F.col("status") == "ok", F.col("rewrite")).alias("rewrite"))).select("run_index", "creation_id", "chunk_index", "status", "reason", tx.n_words(F.col("original")).alias("n_words"), "original", tx.cleaned(F.col("rewrite")).alias("_r"))
     out = measured(with_encodings(src, "original", "_r"), distance)
     ok = F.col("status") == "ok"
     return out.select("run_index", "creation_id", "chunk_index", "status", "reason", F.when(ok, F.col("delta")).otherwise(0.0).alias("delta"), "n_words", (ok & F.col("degenerate")).alias("degenerate"))

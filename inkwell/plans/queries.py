@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import chunking, collection, distance, experiments, ingest, ledger, packing, reports, rewriting, sampling, scoring, thresholds
+from ..session import spread
 
 N_RUNS = 3
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,7 +220,7 @@ def fw_encode(t):
 
 
 def _encoded_rewrites(t):
-    r = t.rewrites.select("rewrite_id", "original", tx.cleaned(F.col("rewrite")).alias("cleaned"))
+    r = spread(t.rewrites.select("rewrite_id", "original", "rewrite")).select("rewrite_id", "original", tx.cleaned(F.col("rewrite")).alias("cleaned"))
     return distance.with_encodings(r, "original", "cleaned")
 
 
@@ -339,7 +340,8 @@ def length_ratio(t):
 
 @query
 def content_retention(t):
-    return t.rewrites.select("rewrite_id", rewriting.content_retention(F.col("original"), tx.cleaned(F.col("rewrite"))).alias("content_retention"))
+    r = spread(t.rewrites.select("rewrite_id", "original", "rewrite")).withColumn("cleaned", tx.cleaned(F.col("rewrite")))
+    return rewriting.with_retention(r, "original", "cleaned").select("rewrite_id", "content_retention")
 
 
 @query
