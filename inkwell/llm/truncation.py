@@ -95,9 +95,21 @@ def strict_prefixes(values: DataFrame) -> DataFrame:
     return found.where("kind IS NULL").select("key").unionByName(across.select("key"))
 
 
+def response_bodies(calls: DataFrame) -> DataFrame:
+    """key, value of every sound line's response without its wrapping, if it is long enough to be
+    evidence. Reads nothing but the responses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [x for x in map(unwrap, b.column(0).to_pylist()) if len(x) >= LEAST_PREFIX]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_key, kept), pa.binary()), pa.array(kept, pa.string())], ["key", "value"])
+
+    return calls.where("status = 'ok' AND response IS NOT NULL").select("response").mapInArrow(run, "key binary, value string")
+
+
 def ledger_states(calls: DataFrame) -> DataFrame:
-    """call_id, provider, model_id, state, key, body, open_end, at_limit of each sound line."""
-    fields = "call_id bigint, provider string, model_id string, state string, key binary, body string, open_end boolean, at_limit boolean"
+    """call_id, provider, model_id, state, key, open_end, at_limit of each sound line."""
+    fields = "call_id bigint, provider string, model_id string, state string, key binary, open_end boolean, at_limit boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,10 +117,9 @@ def ledger_states(calls: DataFrame) -> DataFrame:
             state = [state_of(*x) for x in zip(tag, prompt, response)]
             body = [unwrap(r) for r in response]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(state, pa.string()), pa.array([_key(x) for x in body], pa.binary()), pa.array(body, pa.string()),
-                 pa.array([_CLOSED.search(x[-12:]) is None for x in body], pa.bool_()), b.column(6)],
-                ["call_id", "provider", "model_id", "state", "key", "body", "open_end", "at_limit"],
-            )
+                [b.column(0), b.column(1), b.column(2), pa.array(state, pa.string()), pa.array(map(_key, body), pa.binary()), pa.array([_CLOSED.search(x[-12:]) is None for x in body], pa.bool_()), b.column(6)],
+                ["call_id", "provider", "model_id", "state", "key", "open_end", "at_limit"],
+            )
 
     at_limit = F.lower("finish_reason").isin(*_LIMIT_REASONS) | (F.col("output_tokens") >= F.col("max_output_tokens"))
     src = calls.where("status = 'ok'").select(F.col("call_id").cast("bigint"), "provider", "model_id", "tag", "prompt", "response", F.coalesce(at_limit, F.lit(False)).alias("at_limit"))
@@ -117,10 +128,9 @@ def ledger_states(calls: DataFrame) -> DataFrame:
 
 def cut_lines(calls: DataFrame) -> DataFrame:
     """call_id, provider, model_id, is_cut, has_longer_copy of every line with status ok."""
-    lines = ledger_states(calls)
-    values = lines.where(F.length("body") >= LEAST_PREFIX).groupBy("key").agg(F.first("body").alias("value"))
+    values = response_bodies(calls).groupBy("key").agg(F.first("value").alias("value"))
     prefixes = strict_prefixes(values).withColumn("has_longer_copy", F.lit(True))
-    out = lines.drop("body").join(prefixes, "key", "left").withColumn("has_longer_copy", F.coalesce("has_longer_copy", F.lit(False)))
+    out = ledger_states(calls).join(prefixes, "key", "left").withColumn("has_longer_copy", F.coalesce("has_longer_copy", F.lit(False)))
     unsure = (F.col("state") == "unknown") & F.col("open_end") & (F.col("has_longer_copy") | F.col("at_limit"))
     return out.select("call_id", "provider", "model_id", ((F.col("state") == "cut") | unsure).alias("is_cut"), "has_longer_copy")
 
