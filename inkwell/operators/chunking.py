@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.lexicon import CHUNK_WORDS
+from ..session import spread
 
 
 def chunked(df: DataFrame, id_col: str, text_col: str = "text", size: int = CHUNK_WORDS) -> DataFrame:
@@ -15,7 +16,7 @@ def chunked(df: DataFrame, id_col: str, text_col: str = "text", size: int = CHUN
     are read."""
     if size < 1:
         raise ValueError("a chunk has at least one word")
-    own = df.select(F.col(id_col).alias("creation_id"), tx.words(F.col(text_col)).alias("_w")).where(F.size("_w") > 0)
+    own = spread(df.select(F.col(id_col).alias("creation_id"), F.col(text_col).alias("_t"))).select("creation_id", tx.words(F.col("_t")).alias("_w")).where(F.size("_w") > 0)
     starts = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(size))
     cut = F.transform(starts, lambda s, i: F.struct(i.alias("chunk_index"), F.slice(F.col("_w"), s + 1, F.lit(size)).alias("w"), s.alias("word_start")))
     out = own.select("creation_id", F.explode(cut).alias("c"))

@@ -36,7 +36,7 @@ _BINNED = f"""{_OTSU}, edge AS (SELECT min(score) AS lo, max(score) AS hi FROM s
   binned AS (SELECT centre AS tau FROM acc WHERE w1 > 0 AND w2 > 0 ORDER BY round(w1::DOUBLE * w2 * pow(m1 / w1 - m2 / w2, 2), 9) DESC, bin LIMIT 1)"""
 _LABELS = f"""{_OTSU}, labels AS (SELECT creation_id, score, tau, CASE WHEN score > tau THEN 'suspicious' ELSE 'authentic' END AS label, abs(score - tau) <= {lx.BORDERLINE_BAND} AS borderline FROM s, otsu)"""
 _SIZES = f"sizes AS (SELECT id AS creation_id, max(expected_words)::BIGINT AS n_words, floor(max(expected_words)::DOUBLE * {lx.TOKENS_PER_WORD}::DOUBLE)::BIGINT AS tokens FROM text_sources WHERE expected_words IS NOT NULL GROUP BY id)"
-_NOISE = f"""{_DECL}, pool AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM decl WHERE set_name = 'noise_pool')),
+_NOISE = f"""{_DECL}, pool AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM decl WHERE set_name IN ('noise_pool', 'heldout'))),
   noise AS (SELECT r::BIGINT AS run_index, id AS creation_id FROM (SELECT unnest(range(2, {N_RUNS + 1})) AS r), pool WHERE i = ({lx.SEED} + r - 2) % n)"""
 _CACHE = "sound AS (SELECT * FROM calls WHERE status = 'ok' AND response IS NOT NULL), cache AS (SELECT * FROM sound QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY logged_at DESC, call_id DESC) = 1)"
 
