@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Letters that look like a Latin letter, by script (lower and upper case).
 LOOKALIKES = {
     "CYRILLIC": ("асеорхуѕіјһӏԁԛԝАВЕКМНОРСТХУЅІЈԚԜ", "aceopxysijhldqwABEKMHOPCTXYSIJQW"),
@@ -129,7 +131,7 @@ def canonical_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([canonical(t) for t in b.column(1).to_pylist()], pa.string())], ["id", "canonical_text"])
 
     src = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, canonical_text string").withColumnRenamed("id", id_col)
+    return spread(src).mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, canonical_text string").withColumnRenamed("id", id_col)
 
 
 def _digest(text: str) -> bytes:
@@ -152,7 +154,7 @@ def text_digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(stored, pa.binary()), pa.array(look, pa.binary())], ["id", "stored", "look"])
 
     src = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "id bigint, stored binary, look binary")
+    return spread(src).mapInArrow(run, "id bigint, stored binary, look binary")
 
 
 def lookalike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

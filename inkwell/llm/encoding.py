@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TOKENIZER = os.environ.get("INKWELL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
@@ -109,7 +111,7 @@ def encoded(documents: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id",
                 at += len(part)
 
     src = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return spread(src).mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +125,7 @@ def token_counts(documents: DataFrame, path: str = TOKENIZER, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], ["id", "n_tokens"])
 
     src = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens int").withColumnRenamed("id", id_col)
+    return spread(src).mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens int").withColumnRenamed("id", id_col)
 
 
 def decoded(encodings: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id") -> DataFrame:
@@ -134,4 +136,4 @@ def decoded(encodings: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(x, path) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     src = encodings.select(F.col(id_col).alias("id"), "ids")
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return spread(src).mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)

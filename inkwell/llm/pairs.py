@@ -22,10 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .wording import language_of, passage_of, strip_instruction, unwrap, words
 
 #: An answer whose words agree in order with the passage to this share is taken from it.
 ALIGNED = 0.42
+#: An answer of fewer words than this is taken from its passage from a smaller share on.
+FEW, FEW_ALIGNED = 16, 0.25
+#: An answer may quote its passage up to this share and still refuse.
+QUOTED = 0.65
 #: Words of the passage that a copy may change.
 COPY_CHANGES = 2
 #: Words in a run that counts as copied.
@@ -52,7 +57,7 @@ REFUSALS = (
 def _automaton(phrases: Iterable[str]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for p in phrases:
-        found.add_word(f" {p} ", len(p))
+        found.add_word(f" {p} ", p)
     found.make_automaton()
     return found
 
@@ -60,15 +65,12 @@ def _automaton(phrases: Iterable[str]) -> ahocorasick.Automaton:
 _REFUSAL_AUTOMATON: ahocorasick.Automaton | None = None
 
 
-def refusal_share(found: list[str]) -> float:
-    """The share of an answer's words that stand in refusing phrases."""
+def refusals_in(found: list[str]) -> set[str]:
+    """The refusing phrases among an answer's words."""
     global _REFUSAL_AUTOMATON
-    if not found:
-        return 0.0
     if _REFUSAL_AUTOMATON is None:
         _REFUSAL_AUTOMATON = _automaton(REFUSALS)
-    text = f" {' '.join(found)} "
-    return min(1.0, sum(n for _, n in _REFUSAL_AUTOMATON.iter(text)) / len(text))
+    return {p for _, p in _REFUSAL_AUTOMATON.iter(f" {' '.join(found)} ")}
 
 
 class SuffixAutomaton:
@@ -209,7 +211,7 @@ def defect_of(passage: str | None, answer: str | None) -> str | None:
         return "empty"
     a = words(passage)
     if not a:
-        return "refusal" if refusal_share(b) > 0.1 else None
+        return "refusal" if refusals_in(b) else None
     n, m = len(a), len(b)
     copied = SuffixAutomaton(a).copied(b, min(COPY_RUN, n, m))
     bits = agreement(a, b)
@@ -220,13 +222,16 @@ def defect_of(passage: str | None, answer: str | None) -> str | None:
     early = m < 0.5 * n
     near = bits & ((1 << min(n, int(1.3 * m) + 4)) - 1) if early else bits
     share = max(near.bit_count() / m, agreed / n if not early else 0)
-    if share < ALIGNED and refusal_share(b) > 0:
+    # a refusal may quote much of a short passage, but refuses in words that aren't the passage's
+    if share < QUOTED and (said := refusals_in(b)) and (share < ALIGNED or said - refusals_in(a)):
         return "refusal"
-    if share < ALIGNED:
-        mine, theirs = language_of(b), language_of(a)
+    if share < ALIGNED or (m > 2 * n + 8 and agreed < 0.2 * m):
+        mine, theirs = language_of(b), language_of(a, 1 if n < 20 else 2)
         if mine and theirs and mine != theirs:
             return "other_language"
-        return "truncated" if early and share >= 0.3 and m < 8 else None
+    if share < ALIGNED:
+        # a few words that agree little may still begin a rewrite
+        return "truncated" if m < FEW and m < 0.85 * n - 1 and share >= FEW_ALIGNED else None
     return "truncated" if breaks_off(a, b, bits) else None
 
 
@@ -246,7 +251,7 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
     holds the passage), source STRING, answer STRING. Gives tbl, row_id, defect of each
     defective row. No shuffle: a row is judged where it is read."""
     cols = pairs.select("tbl", F.col("row_id").cast("bigint").alias("row_id"), "is_prompt", "source", "answer")
-    return cols.mapInArrow(_defects, "tbl string, row_id bigint, defect string")
+    return spread(cols).mapInArrow(_defects, "tbl string, row_id bigint, defect string")
 
 
 def rewrite_pairs(rewrites: DataFrame, calls: DataFrame) -> DataFrame:

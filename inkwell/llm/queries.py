@@ -73,4 +73,15 @@ def p8_canonical(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_pieces, p3_found, p4_found, p4_sources, p5_found, p5_counts, p6_ids, p7_containers, p7_fill, p8_found, p8_canonical)}
-ORACLES: dict[str, str] = {}
+
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+#: Of the other queries no SQL says the same: automata, alignments, tokenizers, canonical forms.
+ORACLES: dict[str, str] = {
+    "p1_found": r"""WITH t AS (SELECT 'rewrites' AS tbl, rewrite_id AS row_id, rewrite AS text FROM rewrites UNION ALL SELECT 'calls', call_id, response FROM calls),
+        w AS (SELECT tbl, row_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM t), p AS (SELECT tbl, row_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2),
+        g AS (SELECT tbl, row_id, i, row_number() OVER (PARTITION BY tbl, row_id, w[i], w[i + 1], w[i + 2] ORDER BY i) > 1 AS again FROM p),
+        c AS (SELECT tbl, row_id, count(DISTINCT i + d) AS n FROM g, (SELECT unnest([0, 1, 2]) AS d) WHERE again GROUP BY tbl, row_id)
+        SELECT c.tbl, c.row_id FROM c JOIN w USING (tbl, row_id) WHERE n >= 0.4 * len(w)""",
+    "p2_found": f"SELECT DISTINCT creation_id, chunk_index FROM chunks WHERE len(list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda w: w <> '')) > 120",
+}

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 RUN = 3
 SPAN = 4
 #: Levels of a span's repeated share that the field tells apart: none, under half, half or more, all.
@@ -190,7 +192,7 @@ def repetition(texts: DataFrame) -> DataFrame:
             )
 
     src = texts.select("tbl", F.col("row_id").cast("bigint").alias("row_id"), "text")
-    return src.mapInArrow(run, "tbl string, row_id bigint, n_words bigint, repeated_share double, content_share double, keep boolean")
+    return spread(src).mapInArrow(run, "tbl string, row_id bigint, n_words bigint, repeated_share double, content_share double, keep boolean")
 
 
 def generated_texts(rewrites: DataFrame, calls: DataFrame) -> DataFrame:

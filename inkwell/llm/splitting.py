@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 LIMIT, OVERLAP = 120, 12
 _WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SENTENCE_END = re.compile("[.!?;\u2026\u3002\uff0e\uff01\uff1f][\"'\u2019\u201d\u00bb)*_\\]]*\\Z")
@@ -101,5 +103,5 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     src = chunks.select(F.col("creation_id").cast("string"), F.col("chunk_index").cast("int"), F.col("text").cast("string"), F.coalesce(F.col("word_start").cast("int"), F.lit(0)).alias("word_start"))
     # a row of over `limit` words has at least 2 * limit + 1 characters
     src = src.where(F.length("text") > 2 * limit)
-    out = src.mapInArrow(run, "creation_id string, chunk_index int, piece_index int, text string, n_words int, word_start int, word_end int")
+    out = spread(src).mapInArrow(run, "creation_id string, chunk_index int, piece_index int, text string, n_words int, word_start int, word_end int")
     return out.distinct().withColumn("sha256", F.sha2("text", 256))

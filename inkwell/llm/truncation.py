@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, spread
 from .pairs import defect_of, is_blank, unclosed
 from .wording import passage_of, unwrap
 
@@ -104,7 +104,7 @@ def response_bodies(calls: DataFrame) -> DataFrame:
             kept = [x for x in map(unwrap, b.column(0).to_pylist()) if len(x) >= LEAST_PREFIX]
             yield pa.RecordBatch.from_arrays([pa.array(map(_key, kept), pa.binary()), pa.array(kept, pa.string())], ["key", "value"])
 
-    return calls.where("status = 'ok' AND response IS NOT NULL").select("response").mapInArrow(run, "key binary, value string")
+    return calls.where("status = 'ok' AND response IS NOT NULL").select("response").transform(spread).mapInArrow(run, "key binary, value string")
 
 
 def ledger_states(calls: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def ledger_states(calls: DataFrame) -> DataFrame:
 
     at_limit = F.lower("finish_reason").isin(*_LIMIT_REASONS) | (F.col("output_tokens") >= F.col("max_output_tokens"))
     src = calls.where("status = 'ok'").select(F.col("call_id").cast("bigint"), "provider", "model_id", "tag", "prompt", "response", F.coalesce(at_limit, F.lit(False)).alias("at_limit"))
-    return src.mapInArrow(run, fields)
+    return spread(src).mapInArrow(run, fields)
 
 
 def cut_lines(calls: DataFrame) -> DataFrame:

@@ -127,9 +127,9 @@ def language_votes(found: Iterable[str]) -> dict[str, int]:
     return votes
 
 
-def language_of(found: list[str]) -> str | None:
-    """The language with most votes (ties: the first in alphabet); None without two votes."""
+def language_of(found: list[str], least: int = 2) -> str | None:
+    """The language with most votes (ties: the first in alphabet); None under ``least`` votes."""
     votes = language_votes(found)
-    if not votes or max(votes.values()) < 2:
+    if not votes or max(votes.values()) < least:
         return None
     return min(votes, key=lambda lang: (-votes[lang], lang))
