@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,34 @@ def partition_difference(a: DataFrame, b: DataFrame, id_col: str = "creation_id"
     """One row: whether two sets of ids are equal, and how many ids are in one only."""
     d = set_delta(a, b, id_col)
     return d.agg(F.count_if(F.col("change") == "left").alias("only_first"), F.count_if(F.col("change") == "joined").alias("only_second")).withColumn("equal", (F.col("only_first") + F.col("only_second")) == 0)
+
+
+def spliced(hosts: DataFrame, passages: DataFrame, id_col: str = "creation_id") -> DataFrame:
+    """Hosts with foreign passages put in: creation_id, text, splices (first word and words of each,
+    in the new text). passages: creation_id, at (a word of the host), text."""
+    from ..functions import text as tx
+
+    # a few passages a host
+    own = passages.select(F.col(id_col), F.struct("at", tx.words(F.col("text")).alias("w")).alias("p")).groupBy(id_col).agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    h = hosts.select(id_col, tx.words(F.col("text")).alias("h")).join(own, id_col)
+    start = F.struct(F.lit(0).alias("done"), F.array().cast("array<string>").alias("out"), F.array().cast("array<struct<word_start:int,n_words:int>>").alias("splices"))
+
+    def put(s, p):
+        at = F.least(p["at"], F.size("h"))
+        before = F.slice(F.col("h"), s["done"] + 1, F.greatest(F.lit(0), at - s["done"]))
+        place = F.struct((F.size(s["out"]) + F.size(before)).alias("word_start"), F.size(p["w"]).alias("n_words"))
+        return F.struct(F.greatest(at, s["done"]).alias("done"), F.concat(s["out"], before, p["w"]).alias("out"), F.concat(s["splices"], F.array(place)).alias("splices"))
+
+    m = h.withColumn("m", F.aggregate("ps", start, put))
+    rest = F.slice(F.col("h"), F.col("m.done") + 1, F.greatest(F.lit(0), F.size("h") - F.col("m.done")))
+    return m.select(id_col, F.array_join(F.concat("m.out", rest), " ").alias("text"), F.col("m.splices").alias("splices"))
+
+
+def splice_recall(deltas: DataFrame, foreign: DataFrame) -> DataFrame:
+    """creation_id, n_foreign, n_found: how many of a creation's foreign chunks are among as many of
+    its chunks of highest delta. foreign: creation_id, chunk_index. Windows hold numbers only."""
+    f = foreign.select("creation_id", "chunk_index").distinct().withColumn("is_foreign", F.lit(1))
+    d = deltas.where("status = 'ok'").groupBy("creation_id", "chunk_index").agg(F.avg("delta").alias("delta")).join(f, ["creation_id", "chunk_index"], "left").na.fill({"is_foreign": 0})
+    w = Window.partitionBy("creation_id")
+    ranked = d.withColumn("rank", F.row_number().over(w.orderBy(F.desc("delta"), "chunk_index"))).withColumn("n_foreign", F.sum("is_foreign").over(w))
+    return ranked.where("n_foreign > 0").groupBy("creation_id").agg(F.max("n_foreign").alias("n_foreign"), F.count_if((F.col("rank") <= F.col("n_foreign")) & (F.col("is_foreign") == 1)).alias("n_found"))

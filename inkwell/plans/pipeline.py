@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..operators import chunking, ledger, packing, reports, rewriting, sampling, scoring, thresholds
+from ..operators import chunking, experiments, ledger, packing, reports, rewriting, sampling, scoring, thresholds
 from ..session import checkpointed
 
 #: A provider answers prompts: a column of prompts and one of passages to a column of answers.
@@ -88,15 +88,17 @@ def rewrite_requests(chunks: DataFrame, corpora: DataFrame, profiles: DataFrame)
     return chunks.select("creation_id", "chunk_index", F.col("text").alias("original")).join(corpora, "creation_id").join(F.broadcast(p), "run_index")
 
 
-def run(texts: DataFrame, pool: DataFrame, settings: dict, cache: DataFrame | None = None) -> Run:
-    """texts and pool: creation_id, text (the collection, and texts known to be foreign)."""
+def run(texts: DataFrame, pool: DataFrame, settings: dict, cache: DataFrame | None = None, profiled: DataFrame | None = None) -> Run:
+    """texts and pool: creation_id, text (the collection, and texts known to be foreign). profiled:
+    the creations (creation_id) that profiles are taken from; all, where it isn't given."""
     m, seed = settings["run"]["M"], settings["run"]["seed"]
     n = settings["noise"]
     noise = checkpointed(sampling.noise_assignment(pool, m, seed, n["enabled"], n["first_run_plain"], "creation_id"))
     every = texts.select("creation_id", "text").unionByName(pool.join(noise, "creation_id", "left_semi").select("creation_id", "text"))
     chunks = chunking.chunked(every, "creation_id", size=settings["chunking"]["P"])
     corpora = sampling.run_corpora(texts, noise, m)
-    profiles = checkpointed(extract_profiles(every, corpora, settings))
+    described = corpora if profiled is None else corpora.where("is_noise").unionByName(corpora.where("NOT is_noise").join(profiled.select("creation_id"), "creation_id", "left_semi").select(corpora.columns))
+    profiles = checkpointed(extract_profiles(every, described, settings))
     scored = corpora if n["score_injected_text"] else corpora.where("NOT is_noise")
     requests = rewrite_requests(chunks, scored, profiles)
     name = settings["llm"]["provider"]
@@ -122,6 +124,29 @@ def run(texts: DataFrame, pool: DataFrame, settings: dict, cache: DataFrame | No
     return Run(chunks, noise, profiles, rewrites, deltas, run_scores, scores, tau, thresholds.classified(scores, tau, c["borderline_band"]), settings)
 
 
+def purified(texts: DataFrame, pool: DataFrame, settings: dict) -> tuple[Run, list[dict]]:
+    """Runs whose profiles are taken from the creations that the run before found authentic, until
+    the suspicious set stays the same or the cap is met. The last run, and for each round how many
+    creations left the suspicious set and joined it."""
+    p = settings["purification"]
+    before, profiled, rounds, unchanged = None, None, [], 0
+    for n in range(1, p["T_max"] + 1):
+        r = run(texts, pool, settings, profiled=profiled)
+        labels = checkpointed(r.labels)
+        now = labels.where("label = 'suspicious'").select("creation_id")
+        if before is None:
+            left, joined = 0, now.count()
+        else:
+            d = experiments.partition_difference(before, now).first()
+            left, joined = d["only_first"], d["only_second"]
+        rounds.append({"round": n, "left": left, "joined": joined})
+        unchanged = unchanged + 1 if before is not None and left + joined == 0 else 0
+        before, profiled = now, labels.where("label = 'authentic'").select("creation_id")
+        if unchanged >= p["stop_when_unchanged_for"]:
+            break
+    return r, rounds
+
+
 def plan(texts: DataFrame, pool: DataFrame, settings: dict, window: int = 1_000_000) -> DataFrame:
     """One row: what a run would take, without a call."""
     m, p = settings["run"]["M"], settings["profile"]

@@ -63,3 +63,10 @@ def test_compare(spark):
     assert {(r.model, n) for r, n in ((r, got.where(f"model = '{r.model}'").count()) for r in got.select("model").distinct().collect())} == {("fake", 8), ("fake_sql", 8)}
     with pytest.raises(ValueError):
         pipeline.register_provider("fake", pipeline.PROVIDERS["fake"])
+
+
+def test_purification_stops_when_the_set_stays(spark):
+    texts, pool = corpus(spark)
+    r, rounds = pipeline.purified(texts, pool, config.build(preset="mini", sets=["chunking.P=40", "run.M=1", "purification.T_max=3"]))
+    assert 2 <= len(rounds) <= 3 and rounds[0]["left"] == 0 and r.labels.count() == 6
+    assert len(rounds) == 3 or rounds[-1]["left"] + rounds[-1]["joined"] == 0
