@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import checkpointed, spread
 
 # Letters that look like a Latin letter, by script (lower and upper case).
 LOOKALIKES = {
@@ -162,9 +162,10 @@ def lookalike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Pairs are made between distinct stored texts of a look, never between rows: equal
     copies are folded first, and a text's rows join its pairs afterwards, so the work
-    follows the pairs that come out, whatever the size of a group of copies.
+    follows the pairs that come out, whatever the size of a group of copies. Digests are
+    kept once (40 bytes a row), as they are read three times.
     """
-    rows = text_digests(documents, id_col, text_col)
+    rows = checkpointed(text_digests(documents, id_col, text_col))
     texts = rows.groupBy("look", "stored").agg(F.count(F.lit(1)).alias("n"))
     looks = texts.groupBy("look").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("look")
     texts = texts.join(looks, "look", "left_semi").select("look", "stored")
