@@ -38,9 +38,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_MOVES_ROWS = ("Join", "Aggregate", "Window", "Sort", "Repartition", "Limit")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files hold fewer splits than there are (a few small files of
-    one row group each); as it stands otherwise, so nothing is shuffled at scale."""
+    one row group each); as it stands otherwise, so nothing is shuffled at scale. Plans that move
+    rows anyway are left alone: their partitions are known only once they have run."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(step in plan for step in _MOVES_ROWS):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
