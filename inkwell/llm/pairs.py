@@ -37,6 +37,8 @@ COPY_CHANGES = 2
 COPY_RUN = 3
 #: Words at the passage's end in which a whole answer must show agreement.
 END_WINDOW = 14
+#: Letters from which on an answer's last word can be part of a word of twice as many.
+PART = 3
 
 # Answers that stand for nothing.
 PLACEHOLDERS = {"na", "n a", "null", "none", "nil", "empty", "no output", "no answer", "no response", "blank", "nothing", "undefined", "nan", "tbd"}
@@ -179,6 +181,9 @@ def breaks_off(passage: list[str], answer: list[str], bits: int) -> bool:
     A style rewrite keeps or widens word counts, so an answer of clearly fewer words
     stops early. Else the agreement must reach the passage's last words (all but a few
     words of style, which may change) and must be as dense there as a third of the rest.
+    Last words of style that changed stand behind the last agreed word in other words, one
+    for each but one: an answer with fewer there hasn't got to them, however it was widened,
+    nor has one whose last word begins one of them.
     """
     n, m = len(passage), len(answer)
     if m < 0.85 * n - 1:
@@ -186,6 +191,13 @@ def breaks_off(passage: list[str], answer: list[str], bits: int) -> bool:
     tail = n - bits.bit_length()
     if tail >= 5:
         return True
+    # of two last words one may agree across the other (that wolf this wolf, yonder wolf that wolf)
+    if tail >= 3 or (tail == 1 and n > 1 and answer[-1] == passage[-2]):
+        behind = m - agreement(answer, passage).bit_length()
+        if behind <= max(0, tail - 2):
+            return True
+    if tail and len(answer[-1]) >= PART and any(len(w) >= 2 * PART and w != answer[-1] and w.startswith(answer[-1]) for w in passage[n - tail :]):
+        return True
     if n >= 2 * END_WINDOW:
         at_end = (bits >> (n - END_WINDOW)).bit_count()
         rest = (bits & ((1 << (n - END_WINDOW)) - 1)).bit_count() / (n - END_WINDOW)
@@ -200,39 +212,45 @@ def is_blank(text: str | None) -> bool:
     return not body or (len(body) <= 3 and " ".join(body) in PLACEHOLDERS)
 
 
-def defect_of(passage: str | None, answer: str | None) -> str | None:
-    """The one defect of a pair, or None."""
+def judged(passage: str | None, answer: str | None) -> tuple[str | None, list[str]]:
+    """The one defect of a pair, or None; and of a pair that is whole or a copy the passage's last
+    words, those after all words on which the answer agrees with it."""
     if answer is None:
-        return "empty"
+        return "empty", []
     body = strip_instruction(unwrap(answer))
     body = unwrap(body)
     b = words(body)
     if not b or (len(b) <= 3 and " ".join(b) in PLACEHOLDERS):
-        return "empty"
+        return "empty", []
     a = words(passage)
     if not a:
-        return "refusal" if refusals_in(b) else None
+        return ("refusal" if refusals_in(b) else None), []
     n, m = len(a), len(b)
     copied = SuffixAutomaton(a).copied(b, min(COPY_RUN, n, m))
     bits = agreement(a, b)
     agreed = bits.bit_count()
     # each changed word and the short runs between two of them may be uncovered
     if copied >= m - 3 * COPY_CHANGES and n - agreed <= COPY_CHANGES and -COPY_CHANGES <= m - n <= 0:
-        return "copy"
+        return "copy", a[bits.bit_length() :]
     early = m < 0.5 * n
     near = bits & ((1 << min(n, int(1.3 * m) + 4)) - 1) if early else bits
     share = max(near.bit_count() / m, agreed / n if not early else 0)
     # a refusal may quote much of a short passage, but refuses in words that aren't the passage's
     if share < QUOTED and (said := refusals_in(b)) and (share < ALIGNED or said - refusals_in(a)):
-        return "refusal"
+        return "refusal", []
     if share < ALIGNED or (m > 2 * n + 8 and agreed < 0.2 * m):
         mine, theirs = language_of(b), language_of(a, 1 if n < 20 else 2)
         if mine and theirs and mine != theirs:
-            return "other_language"
+            return "other_language", []
     if share < ALIGNED:
         # a few words that agree little may still begin a rewrite
-        return "truncated" if m < FEW and m < 0.85 * n - 1 and share >= FEW_ALIGNED else None
-    return "truncated" if breaks_off(a, b, bits) else None
+        return ("truncated" if m < FEW and m < 0.85 * n - 1 and share >= FEW_ALIGNED else None), []
+    return ("truncated", []) if breaks_off(a, b, bits) else (None, a[bits.bit_length() :])
+
+
+def defect_of(passage: str | None, answer: str | None) -> str | None:
+    """The one defect of a pair, or None."""
+    return judged(passage, answer)[0]
 
 
 def _defects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

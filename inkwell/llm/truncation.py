@@ -7,10 +7,15 @@ however many values share a beginning. Most cut answers have no longer copy, so
 measure follows for every line: an answer to a rewriting prompt must cover the end of its
 passage (``pairs.defect_of``), and a JSON value must be closed.
 
-Defined results: null, blank and placeholder responses are not cut; a response that covers
-the end of its passage or closes its JSON value is whole even if a longer copy goes on; one
-that neither tells (a refusal, another language) is cut where a longer copy goes on, or the
-length limit was met, and it doesn't end in a closing mark. Equal rows give equal results.
+Values are sorted with word characters before all others, so that the next neighbour goes on
+inside a value's last word if any longer copy does.
+
+Defined results: null, blank and placeholder responses are not cut; a response that agrees with
+the last word of its passage or closes its JSON value is whole even if a longer copy goes on; one
+whose last words differ from the passage's is cut where a longer copy goes on inside its last
+word, or with one of the words that it lacks; one that neither tells (a refusal, another
+language) is cut where a longer copy goes on, or the length limit was met, and it doesn't end
+in a closing mark. Equal rows give equal results.
 """
 
 from __future__ import annotations
@@ -26,12 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, spread
-from .pairs import defect_of, is_blank, unclosed
-from .wording import passage_of, unwrap
+from .pairs import is_blank, judged, unclosed
+from .wording import passage_of, unwrap, words
 
 #: Characters under which a value is no evidence as a prefix.
 LEAST_PREFIX = 8
 _CLOSED = re.compile("[.!?;:\u2026\u3002\uff01\uff1f)\\]}][\"'\u2019\u201d\u00bb)*_`]*\\Z")
+#: Stands before every character that is not of a word, and sorts behind all others.
+_LAST = "\U0010ffff"
+_NO_WORD = re.compile(r"[\W_]")
+#: Characters of a longer copy's sort form that are kept of what follows a value.
+AHEAD = 80
 _LIMIT_REASONS = ("length", "max_tokens", "max_output_tokens", "token_limit")
 
 
@@ -46,17 +56,28 @@ def json_state(body: str) -> str:
         return "cut" if unclosed(body) else "whole"
 
 
-def state_of(tag: str | None, prompt: str | None, response: str | None) -> str:
-    """What a line tells by itself: 'whole', 'cut', 'blank' or 'unknown'."""
+def judged_line(tag: str | None, prompt: str | None, response: str | None) -> tuple[str, list[str]]:
+    """What a line tells by itself: 'whole', 'cut', 'blank' or 'unknown'; and the last words of
+    its passage that a whole answer doesn't agree with."""
     if response is None or is_blank(response):
-        return "blank"
+        return "blank", []
     if tag not in ("rewrite", "rewrite_retry"):
-        return json_state(unwrap(response))
+        return json_state(unwrap(response)), []
     passage = passage_of(prompt)
     if not passage:
-        return "unknown"
-    d = defect_of(passage, response)
-    return {"truncated": "cut", "empty": "blank", "refusal": "unknown", "other_language": "unknown"}.get(d, "whole")
+        return "unknown", []
+    d, end = judged(passage, response)
+    return {"truncated": "cut", "empty": "blank", "refusal": "unknown", "other_language": "unknown"}.get(d, "whole"), end
+
+
+def state_of(tag: str | None, prompt: str | None, response: str | None) -> str:
+    """The state of ``judged_line``."""
+    return judged_line(tag, prompt, response)[0]
+
+
+def sort_form(value: str) -> str:
+    """A value such that its longer copies follow it, those that go on inside its last word first."""
+    return _NO_WORD.sub(lambda m: _LAST + m.group(), value)
 
 
 def _key(value: str) -> bytes:
@@ -65,7 +86,7 @@ def _key(value: str) -> bytes:
 
 def strict_prefixes(values: DataFrame) -> DataFrame:
     """values: key BINARY, value STRING, distinct. Gives the keys of values that are strict
-    prefixes of another. The only thing gathered beyond the neighbours is each partition's
+    prefixes of another, and what follows in the next of those (``ahead``, AHEAD characters). The only thing gathered beyond the neighbours is each partition's
     first and last value, to compare across the borders between partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,52 +94,72 @@ def strict_prefixes(values: DataFrame) -> DataFrame:
         first = before = None
         for b in batches:
             hits: list[bytes] = []
+            ahead: list[str] = []
             for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if before is None:
                     first = (k, v)
                 elif v.startswith(before[1]) and len(v) > len(before[1]):
                     hits.append(before[0])
+                    ahead.append(v[len(before[1]) :][:AHEAD])
                 before = (k, v)
-            yield _edge(hits, [None] * len(hits), [part] * len(hits), [None] * len(hits))
+            yield _edge(hits, [None] * len(hits), [part] * len(hits), [None] * len(hits), ahead)
         if before is not None:
-            yield _edge([first[0], before[0]], ["first", "last"], [part, part], [first[1], before[1]])
+            yield _edge([first[0], before[0]], ["first", "last"], [part, part], [first[1], before[1]], [None, None])
 
-    def _edge(keys, kinds, parts, texts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(kinds, pa.string()), pa.array(parts, pa.int32()), pa.array(texts, pa.string())], ["key", "kind", "part", "value"])
+    def _edge(keys, kinds, parts, texts, ahead) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(kinds, pa.string()), pa.array(parts, pa.int32()), pa.array(texts, pa.string()), pa.array(ahead, pa.string())], ["key", "kind", "part", "value", "ahead"])
 
     n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = values.select("key", "value").repartitionByRange(n, "value").sortWithinPartitions("value")
-    found = checkpointed(ordered.mapInArrow(run, "key binary, kind string, part int, value string"))
+    found = checkpointed(ordered.mapInArrow(run, "key binary, kind string, part int, value string, ahead string"))
     # two rows a partition
     edges = found.where("kind IS NOT NULL").withColumn("next", F.lead("value").over(Window.partitionBy().orderBy("part", "kind")))
     across = edges.where((F.col("kind") == "last") & F.col("next").startswith(F.col("value")) & (F.length("next") > F.length("value")))
-    return found.where("kind IS NULL").select("key").unionByName(across.select("key"))
+    across = across.select("key", F.expr(f"substring(next, length(value) + 1, {AHEAD})").alias("ahead"))
+    return found.where("kind IS NULL").select("key", "ahead").unionByName(across)
+
+
+def continuations(prefixes: DataFrame) -> DataFrame:
+    """key, goes_inside (a longer copy of the value goes on with a word character) and next_words
+    (the first two words of what follows in the next one) of ``strict_prefixes`` over sort forms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ahead = b.column(1).to_pylist()
+            inside = [not x.startswith(_LAST) for x in ahead]
+            following = [words(x.replace(_LAST, ""))[:2] for x in ahead]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(inside, pa.bool_()), pa.array(following, pa.list_(pa.string()))], ["key", "goes_inside", "next_words"])
+
+    return prefixes.select("key", "ahead").mapInArrow(run, "key binary, goes_inside boolean, next_words array<string>")
 
 
 def response_bodies(calls: DataFrame) -> DataFrame:
-    """key, value of every sound line's response without its wrapping, if it is long enough to be
+    """key, value (sort form) of every sound line's response without its wrapping, if it is long enough to be
     evidence. Reads nothing but the responses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [x for x in map(unwrap, b.column(0).to_pylist()) if len(x) >= LEAST_PREFIX]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_key, kept), pa.binary()), pa.array(kept, pa.string())], ["key", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(_key, kept), pa.binary()), pa.array(map(sort_form, kept), pa.string())], ["key", "value"])
 
     return calls.where("status = 'ok' AND response IS NOT NULL").select("response").transform(spread).mapInArrow(run, "key binary, value string")
 
 
 def ledger_states(calls: DataFrame) -> DataFrame:
-    """call_id, provider, model_id, state, key, open_end, at_limit of each sound line."""
-    fields = "call_id bigint, provider string, model_id string, state string, key binary, open_end boolean, at_limit boolean"
+    """call_id, provider, model_id, state, unmatched, key, open_end, in_word, at_limit of each sound line."""
+    fields = "call_id bigint, provider string, model_id string, state string, unmatched array<string>, key binary, open_end boolean, in_word boolean, at_limit boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tag, prompt, response = (b.column(i).to_pylist() for i in (3, 4, 5))
-            state = [state_of(*x) for x in zip(tag, prompt, response)]
+            state, end = zip(*(judged_line(*x) for x in zip(tag, prompt, response))) if tag else ((), ())
             body = [unwrap(r) for r in response]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(state, pa.string()), pa.array(map(_key, body), pa.binary()), pa.array([_CLOSED.search(x[-12:]) is None for x in body], pa.bool_()), b.column(6)],
-                ["call_id", "provider", "model_id", "state", "key", "open_end", "at_limit"],
+                [
+                    b.column(0), b.column(1), b.column(2), pa.array(state, pa.string()), pa.array([x or None for x in end], pa.list_(pa.string())), pa.array(map(_key, body), pa.binary()),
+                    pa.array([_CLOSED.search(x[-12:]) is None for x in body], pa.bool_()), pa.array([bool(x) and _NO_WORD.match(x[-1]) is None for x in body], pa.bool_()), b.column(6),
+                ],
+                ["call_id", "provider", "model_id", "state", "unmatched", "key", "open_end", "in_word", "at_limit"],
             )
 
     at_limit = F.lower("finish_reason").isin(*_LIMIT_REASONS) | (F.col("output_tokens") >= F.col("max_output_tokens"))
@@ -129,10 +170,12 @@ def ledger_states(calls: DataFrame) -> DataFrame:
 def cut_lines(calls: DataFrame) -> DataFrame:
     """call_id, provider, model_id, is_cut, has_longer_copy of every line with status ok."""
     values = response_bodies(calls).groupBy("key").agg(F.first("value").alias("value"))
-    prefixes = strict_prefixes(values).withColumn("has_longer_copy", F.lit(True))
+    prefixes = continuations(strict_prefixes(values)).withColumn("has_longer_copy", F.lit(True))
     out = ledger_states(calls).join(prefixes, "key", "left").withColumn("has_longer_copy", F.coalesce("has_longer_copy", F.lit(False)))
     unsure = (F.col("state") == "unknown") & F.col("open_end") & (F.col("has_longer_copy") | F.col("at_limit"))
-    return out.select("call_id", "provider", "model_id", ((F.col("state") == "cut") | unsure).alias("is_cut"), "has_longer_copy")
+    goes_on = (F.col("in_word") & F.col("goes_inside")) | F.arrays_overlap("unmatched", "next_words")
+    short = F.coalesce((F.col("state") == "whole") & F.col("unmatched").isNotNull() & goes_on, F.lit(False))
+    return out.select("call_id", "provider", "model_id", ((F.col("state") == "cut") | unsure | short).alias("is_cut"), "has_longer_copy")
 
 
 def cut_shares(calls: DataFrame) -> DataFrame:

@@ -79,3 +79,12 @@ def test_tables(spark):
 def test_very_long_answers():
     a = " ".join(f"w{i}" for i in range(20_000))
     assert pr.defect_of(a, a) == "copy" and pr.defect_of(a, a[:60_000]) == "truncated"
+
+
+def test_a_widened_answer_must_come_to_the_last_words_of_a_short_passage():
+    passage = "that wandering hammer his hollow almanac about the northern ghost? Bribed that fisherman no"
+    assert pr.defect_of(passage, "that wandering hammer his own hollow mark me almanac about this northern ghost? mark me Bri") == "truncated"
+    assert pr.defect_of(passage, "that wandering hammer his own hollow mark me almanac about this northern ghost? mark me Bribed yonder fisherman not any") is None
+    ended = PASSAGE.removesuffix(" of the")
+    assert pr.defect_of(ended + " and he was not", SOUND.removesuffix(" out of the").replace("hunger", "very hunger indeed") + " yet") == "truncated"
+    assert pr.defect_of(ended + " and he was not", SOUND.removesuffix(" out of the") + " yet that one had been nowise") is None

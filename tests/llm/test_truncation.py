@@ -37,3 +37,17 @@ def test_lines(spark):
     s = tr.cut_shares(df).first()
     assert (s.n_lines, s.n_cut) == (12, 5)
     assert tr.cut_lines(df.limit(0)).count() == 0
+
+
+def test_a_line_with_other_last_words_is_cut_where_a_longer_copy_goes_on_to_the_end(spark):
+    from test_pairs import PASSAGE, SOUND
+
+    p = f"Restyle.\n\nPassage:\n{PASSAGE.removesuffix('old harbour of the')}gardener another"
+    start = SOUND.removesuffix("old harbour out of the")
+    rows = [
+        (1, start + "gardener a fur"), (2, start + "gardener a further"), (3, start + "gardener a fur hat"),  # inside a word, behind a copy that goes on with a blank
+        (4, start + "gardener of a further"), (5, start + "gardener of a further" + " " + SOUND),  # whole, and looped elsewhere
+        (6, start + "gardener upon"), (7, start + "gardener upon another"),  # the passage's last word follows
+    ]
+    df = spark.createDataFrame([(i, "ok", "rewrite", p, r, "stop", 5, 99, "m", "m1") for i, r in rows], "call_id long, status string, tag string, prompt string, response string, finish_reason string, output_tokens int, max_output_tokens int, provider string, model_id string")
+    assert {r.call_id for r in tr.cut_lines(df).where("is_cut").collect()} == {1, 6}
