@@ -1,8 +1,9 @@
 """Splitting oversized items at natural boundaries.
 
 Recursive bisection: an item of more than ``limit - overlap`` words is cut at the
-strongest boundary (paragraph, line, sentence, then any word) near its midpoint,
-halves that still exceed it are cut again, and then every piece after the first
+strongest boundary (paragraph, line, sentence) near its midpoint, else in a wider
+reach, at last anywhere in it, and between any two words only if it has no boundary;
+parts that still exceed it are cut again, and then every piece after the first
 gets the last ``overlap`` words of the words before it.
 
 A word is a run of characters that are not Unicode white space. A piece's text is
@@ -57,10 +58,11 @@ def bisected(n: int, most: int, ranked: tuple[list[int], ...]) -> list[int]:
             continue
         reach = max(1, min((b - a) // 4, most // 2)) if b - a > 2 * most else max(1, min(most - (b - a + 1) // 2, (b - a) // 3))
         mid = (a + b) / 2
-        low, high = max(a + 1, int(mid - reach)), min(b - 1, int(mid + reach))
         cut = (a + b) // 2
-        for kind in ranked:
-            i, j = bisect_left(kind, low), bisect_right(kind, high)
+        for r in (reach, max(reach, (b - a) // 4), b - a):
+            low, high = max(a + 1, int(mid - r)), min(b - 1, int(mid + r))
+            spans = [(kind, bisect_left(kind, low), bisect_right(kind, high)) for kind in ranked]
+            kind, i, j = next((x for x in spans if x[1] < x[2]), ((), 0, 0))
             if i < j:
                 k = bisect_left(kind, mid, i, j)
                 cut = min((kind[x] for x in (k - 1, k) if i <= x < j), key=lambda c: (abs(c - mid), c))

@@ -52,3 +52,19 @@ def test_edge_cases(spark):
     assert sp.split_oversized(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         sp.split_oversized(df, 10, 10)
+
+
+@pytest.mark.parametrize("n,ends,want", [(210, (87, 99), 99), (212, (88, 100), 100), (125, (17,), 17)])
+def test_the_first_piece_ends_with_a_sentence_off_the_middle(n, ends, want):
+    text = " ".join(f"w{i}." if i in ends else f"w{i}" for i in range(1, n + 1))
+    assert sp.pieces(text)[0][2] == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=30), st.integers(2, 30))
+def test_only_runs_over_the_limit_without_an_end_are_cut_inside(runs, most):
+    ends = [sum(runs[: k + 1]) for k in range(len(runs))]
+    got = sp.bisected(ends[-1], most, ([], [], ends[:-1]))
+    for a, b in zip([0, *ends], ends):
+        assert b - a > most or not any(a < e < b for e in got)
+    assert all(b - a <= most for a, b in zip([0, *got], got))
