@@ -4,7 +4,9 @@ A text's words are cut into spans of a line (at line and sentence ends, and ever
 ``SPAN`` words). A linear-chain conditional random field labels each span content
 or boilerplate from how much of it stood earlier in the same text, Viterbi decoding
 finds the best labelling of the whole text, and the share of words in content spans
-decides retention. ``fit_field`` trains the field's weights from labelled spans.
+is reported. Retention is decided word by word in every text in which a span is
+repeated at all, for the field takes short refrains between fresh lines for content.
+``fit_field`` trains the field's weights from labelled spans.
 
 A word is a run of letters and digits, without case. A word is *repeated* when it
 lies in a run of three or more words that already stood earlier in the text.
@@ -37,8 +39,6 @@ CONTENT, BOILERPLATE = 0, 1
 EMISSION = np.array([[1.65, 0.38, -0.45, -1.16], [-1.65, -0.38, 0.45, 1.16]])
 TRANSITION = np.array([[1.33, -1.20], [-1.05, 0.92]])
 
-#: A text whose field finds this share of boilerplate is looked at word by word.
-SUSPECT = 0.15
 #: Repeated words a text may have.
 MOST_REPEATED = 0.40
 
@@ -178,14 +178,13 @@ def shares(text: str | None) -> tuple[int, float, float]:
 
 def repetition(texts: DataFrame) -> DataFrame:
     """texts: tbl, row_id, text. Gives tbl, row_id, n_words, repeated_share, content_share of
-    every row, and keep: false where the field finds boilerplate and, by the exact check,
-    MOST_REPEATED or more of the words are repeated. No shuffle."""
+    every row, and keep: false where MOST_REPEATED or more of the words are repeated. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [shares(t) for t in b.column(2).to_pylist()]
             n, rep, con = (list(x) for x in zip(*got)) if got else ([], [], [])
-            keep = [not (1 - c >= SUSPECT and r >= MOST_REPEATED) for r, c in zip(rep, con)]
+            keep = [r < MOST_REPEATED for r in rep]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(rep, pa.float64()), pa.array(con, pa.float64()), pa.array(keep, pa.bool_())],
                 ["tbl", "row_id", "n_words", "repeated_share", "content_share", "keep"],

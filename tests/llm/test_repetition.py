@@ -72,3 +72,13 @@ def test_weights_trained_in_spark(spark):
     df = spark.createDataFrame([("a b c d " * 30,), ("one two three four five six seven eight",), (None,)], "text string")
     em, tr = rp.train(df, 10)
     assert em.shape == (2, rp.LEVELS) and tr.shape == (2, 2)
+
+
+def test_refrains_between_fresh_lines_are_found(spark):
+    def refrains(new, old, times=20):
+        return " ".join(" ".join([f"n{k}x{i}" for i in range(new)] + [f"r{i}" for i in range(old)]) + "." for k in range(times))
+
+    rows = [("t", i, refrains(*x)) for i, x in enumerate([(8, 8), (4, 4), (6, 6), (10, 8), (12, 6)])]
+    df = spark.createDataFrame(rows, "tbl string, row_id long, text string")
+    assert all((share_by_definition(r[2]) >= 0.4) == (r[1] < 4) for r in rows)
+    assert {r.row_id for r in rp.repetition(df).where("NOT keep").collect()} == {0, 1, 2, 3}
