@@ -6,7 +6,7 @@ intervals are merged into a coverage for each evaluation record, and pairs cover
 but for what two slips of the pen can touch are then compared exactly.
 
 Records meet in a shard by *signatures*: pairs of their words (single words and forms
-with a letter left out for short records) together with their numerals. Two records
+with a letter left out, also run together, for short records) together with their numerals. Two records
 that differ by at most two slips share a signature, so no training record is scanned
 against shards it can't belong to, and the work follows the records. Equal records are
 folded before, and their rows join the pairs afterwards.
@@ -88,12 +88,14 @@ def signatures(words: tuple[str, ...], numerals: tuple[str, ...], together: str)
     """Strings of which records within two slips of each other share at least one."""
     n = ",".join(numerals)
     k = len(words)
-    if k > 8:  # neighbours in sorted order: two slips break at most six of these pairs
+    if k > 10:  # neighbours in sorted order: two slips break at most six of the seven or more pairs of common words
         parts = {f"{a} {b}" for a, b in zip(words, words[1:])}
     else:
         parts = {f"{a} {b}" for a, b in combinations(words, 2)}
-    if k <= 3:
+    if k <= 4:  # four words and three, of which a space was lost and another word slipped, have one in common
         parts |= {x for w in words for x in (left_out(w, 3 - k) if k < 3 else (w,))}
+    if k <= 3:  # lost spaces and a slip in what is run together
+        parts |= {f"+{x}" for t in ("".join(words), "".join(reversed(words))) for x in left_out(t, 1)}
     return [f"{p}|{n}" for p in parts] + [f"={together}"]
 
 

@@ -78,3 +78,23 @@ def test_pairs_against_brute_force(spark, seed):
 def test_empty(spark):
     df = spark.createDataFrame([], "decl_order long, id string, gutenberg_ids array<int>, set_name string, author string")
     assert ov.cross_split_pairs(df).count() == 0 and ov.overlap_counts(df).count() == 0
+
+
+def test_a_lost_space_and_a_slip_leave_a_shared_signature():
+    rng = random.Random(3)
+    accepted = 0
+    a, b = ov.name_key("batarn flillaxa toumpum zoumump"), ov.name_key("batarnflillaxa toumpum zoumumk")
+    assert ov.same_work(a, b) and set(ov.signatures(*a)) & set(ov.signatures(*b))
+    for k in (2, 3, 4, 5, 6, 8, 9, 10, 11, 12):
+        for _ in range(200):
+            words = sorted("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 10))) for _ in range(k))
+            i = rng.randrange(k - 1)
+            other = [*words[:i], words[i] + words[i + 1], *words[i + 2 :]]
+            i = rng.randrange(k - 1)
+            j = rng.randrange(len(other[i]) - 1)
+            other[i] = rng.choice([other[i][:j] + other[i][j + 1 :], other[i][:j] + "z" + other[i][j:], other[i][:j] + "z" + other[i][j + 1 :]])
+            a, b = ov.name_key(" ".join(words)), ov.name_key(" ".join(other))
+            if ov.same_work(a, b):
+                accepted += 1
+                assert set(ov.signatures(*a)) & set(ov.signatures(*b)), (a, b)
+    assert accepted > 200
