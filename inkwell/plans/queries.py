@@ -606,6 +606,8 @@ def cache_hit_miss(t):
 
 @query
 def cache_verify(t):
+    """Over the cache: the newest line of each key with status ok and a response. Older lines and
+    lines without a response are not looked at, so n_empty is 0."""
     return ledger.cache_problems(ledger.cache_table(t.calls))
 
 
