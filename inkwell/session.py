@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine. On a cluster pass your own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("inkwell")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,6 +23,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    spark.conf.set(SCAN_PARTITIONS, str(spark.sparkContext.defaultParallelism))
+    return spark
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -38,18 +40,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_MOVES_ROWS = ("Join", "Aggregate", "Window", "Sort", "Repartition", "Limit")
+#: Session setting: into how many partitions ``spread`` deals rows. Unset: scans stay as they are read.
+SCAN_PARTITIONS = "inkwell.scan.partitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files hold fewer splits than there are (a few small files of
-    one row group each); as it stands otherwise, so nothing is shuffled at scale. Plans that move
-    rows anyway are left alone: their partitions are known only once they have run."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(step in plan for step in _MOVES_ROWS):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` dealt over ``inkwell.scan.partitions`` partitions where the session sets that, else ``df``
+    as it stands. ``local_session`` sets it, as a test table is one file of one row group, which can't
+    be split; on a cluster leave it unset, so that no text is moved before it is read."""
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 _shipped: set[str] = set()
