@@ -2,8 +2,8 @@
 
 The plan is made over the histogram of item sizes, never over items: best fit, from the
 largest size down, puts runs of equal items into runs of equally filled containers. The
-plan is a list of segments (size, first rank, count, first container), one container for
-each rank; items then take their planned slots by joining on their rank within their size.
+plan is a list of segments (size, first rank, count, first container, items a container);
+items then take their planned slots by joining on their rank within their size.
 
 The histogram has at most ``capacity`` rows, whatever the corpus, so it may go to the
 driver; items never do. Ranks within a size are dense, and a size that holds a third of
@@ -28,60 +28,55 @@ CAPACITY = 2048
 #: Items that one bucket of a size may hold on average.
 BUCKET_ITEMS = 250_000
 
-Segment = tuple[int, int, int, int]
+Segment = tuple[int, int, int, int, int]
 
 
 def plan_containers(histogram: Iterable[tuple[int, int]], capacity: int = CAPACITY) -> tuple[list[Segment], int]:
-    """Segments (size, first rank, count, first container) and the number of containers.
-
-    Containers that are filled alike stand side by side, as runs (first, end) under their
-    remaining room. Items of a size go where the least room remains that takes them.
+    """Segments (size, first rank, count, first container, items a container) and the number of containers:
+    the item of rank r of a segment goes to container ``first container + (r - first rank) // items``.
+
+    The same containers as when items are placed one by one, largest first, each where the least
+    room remains that takes it: that container stays the tightest until no more items of the size fit,
+    so it takes all it has room for before the next is looked at, and rooms are visited once a size,
+    least first. Containers that are filled alike stand side by side, as runs (first, end) under
+    their remaining room.
     """
     runs: dict[int, list[tuple[int, int]]] = {}
     segments: list[Segment] = []
     made = 0
+
+    def fill(size: int, rank: int, count: int, first: int, end: int, room: int) -> int:
+        """Puts up to ``count - rank`` items into containers first..end of equal room; the rank after them."""
+        each = room // size
+        full = min((count - rank) // each, end - first)
+        if full:
+            segments.append((size, rank, full * each, first, each))
+            rank, first = rank + full * each, first + full
+            runs.setdefault(room - each * size, []).append((first - full, first))
+        if first < end and rank < count:  # fewer than ``each`` are left
+            segments.append((size, rank, count - rank, first, each))
+            runs.setdefault(room - (count - rank) * size, []).append((first, first + 1))
+            rank, first = count, first + 1
+        if first < end:
+            runs.setdefault(room, []).append((first, end))
+        return rank
+
     for size, count in sorted(histogram, reverse=True):
         if size <= 0 or count <= 0:
             continue
         rank = 0
-        fits = sorted(r for r in runs if r >= size)
-        i = 0
-        while rank < count and i < len(fits):
-            room = fits[i]
-            open_runs = runs.pop(room, None)
-            if not open_runs:
-                i += 1
-                continue
-            first, end = open_runs.pop()
-            if open_runs:
-                runs[room] = open_runs
-            k = min(count - rank, end - first)
-            segments.append((size, rank, k, first))
-            rank += k
-            if first + k < end:
-                runs.setdefault(room, []).append((first + k, end))
-            left = room - size
-            runs.setdefault(left, []).append((first, first + k))
-            if left >= size and left not in fits[:i]:
-                # the same containers take another item of this size, at the least room first
-                fits = sorted(r for r in runs if r >= size)
-                i = 0
+        for room in sorted(r for r in runs if r >= size):
+            if rank == count:
+                break
+            for first, end in runs.pop(room):
+                if rank == count:
+                    runs.setdefault(room, []).append((first, end))
+                else:
+                    rank = fill(size, rank, count, first, end, room)
         if rank < count:
-            each = max(1, capacity // size)
-            rest = count - rank
-            full, over = divmod(rest, each)
-            if full:
-                for _ in range(each):
-                    segments.append((size, rank, full, made))
-                    rank += full
-                runs.setdefault(max(0, capacity - each * size), []).append((made, made + full))
-                made += full
-            for _ in range(over):
-                segments.append((size, rank, 1, made))
-                rank += 1
-            if over:
-                runs.setdefault(capacity - over * size, []).append((made, made + 1))
-                made += 1
+            more = -(-(count - rank) // (capacity // size)) if size <= capacity else count - rank
+            rank = fill(size, rank, count, made, made + more, max(capacity, size))
+            made += more
     return segments, made
 
 
@@ -108,15 +103,15 @@ def packed(sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", s
     over = sum(c for s, c in histogram if s > capacity)
     segments, made = plan_containers([x for x in histogram if x[0] <= capacity], capacity)
     if over:
-        segments.append((capacity + 1, 0, over, made))
+        segments.append((capacity + 1, 0, over, made, 1))
     if not segments:
         return items.select(id_col, size_col, F.lit(0).cast("bigint").alias("container_id")).limit(0)
-    plan = spark.createDataFrame(segments, "_size int, _first bigint, _count bigint, _container bigint")
+    plan = spark.createDataFrame(segments, "_size int, _first bigint, _count bigint, _container bigint, _each bigint")
     buckets = max(16, -(-max(c for _, c in histogram) // BUCKET_ITEMS))
     slots = ranked(items, "_size", id_col, buckets)
     # the plan's rows follow from the capacity, not from the corpus
     out = slots.join(F.broadcast(plan), (slots["_size"] == plan["_size"]) & (F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_first") + F.col("_count")))
-    return out.select(id_col, size_col, (F.col("_container") + F.col("rank") - F.col("_first")).alias("container_id"))
+    return out.select(id_col, size_col, (F.col("_container") + F.floor((F.col("rank") - F.col("_first")) / F.col("_each"))).alias("container_id"))
 
 
 def fill_report(assigned: DataFrame, capacity: int = CAPACITY, size_col: str = "n_tokens") -> DataFrame:

@@ -10,12 +10,12 @@ from inkwell.llm import packing as pk
 
 def load_of(segments):
     load, by, next_rank = Counter(), Counter(), Counter()
-    for size, rank, count, first in segments:
-        assert count > 0 and rank == next_rank[size]
+    for size, rank, count, first, each in segments:
+        assert count > 0 and each > 0 and rank == next_rank[size]
         next_rank[size] += count
         by[size] += count
-        for c in range(first, first + count):
-            load[c] += size
+        for k in range(count):
+            load[first + k // each] += size
     return load, by
 
 
@@ -43,9 +43,11 @@ def best_fit_bound(histogram, capacity):
 
 def test_plan_equals_item_by_item_best_fit_in_number():
     rng = random.Random(4)
-    for _ in range(20):
-        h = Counter(rng.randint(1, 60) for _ in range(300))
-        assert pk.plan_containers(h.items(), 100)[1] <= best_fit_bound(h, 100) + 1
+    assert pk.plan_containers([(150, 1), (100, 1), (50, 3)], 200)[1] == 2
+    for _ in range(3000):
+        top, capacity = rng.randint(3, 60), rng.randint(60, 120)
+        h = Counter(rng.randint(1, top) for _ in range(rng.randint(1, 80)))
+        assert pk.plan_containers(h.items(), capacity)[1] == best_fit_bound(h, capacity)
 
 
 @pytest.mark.parametrize("seed", range(2))
