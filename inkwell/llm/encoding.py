@@ -12,11 +12,15 @@ texts give equal ids; texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,10 +80,57 @@ def byte_offsets(text: str, ids: Iterable[int], path: str = TOKENIZER) -> list[t
     return out
 
 
+# Fixed value: the pattern of byte-level pieces (contractions, words, numbers, marks, white space).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters outside blocks in which every Unicode version has the same letters, digits and blanks:
+#: the library cuts texts that hold one, as its tables may be older than the pattern's.
+_ODD = re.compile("[^\x00-\u0527\u1e00-\u206f\u20a0-\u20b9\u2190-\u21ff\u2500-\u27bf\ufb00-\ufb06\uff01-\uff5e]")
+_CACHE_LIMIT = 500_000
+
+
+class _Pieces(dict):
+    """Piece -> its ids, by the library. The cache only saves time: it is emptied when it grows past its limit."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> list[int]:
+        if len(self) > _CACHE_LIMIT:
+            self.clear()
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
+@lru_cache(maxsize=4)
+def _known_pieces(path: str) -> _Pieces | None:
+    """Where the tokenizer cuts by ``PIECES`` and changes no character before: nothing crosses a piece then,
+    so that a text's ids are those of its pieces, one after the other. Else None."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    cut = own.get("pre_tokenizer") or {}
+    plain = own.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+    return _Pieces(load_tokenizer(path)) if plain else None
+
+
+_CUT = regex.compile(PIECES)
+
+
 def encode_batch(texts: list[str | None], path: str = TOKENIZER) -> list[list[int]]:
-    """The ids of each text."""
-    t = load_tokenizer(path)
-    return [e.ids for e in t.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+    """The ids of each text. Words come again and again, so each distinct piece goes through the
+    library once and its ids are looked up from then on; whole texts go through it where they hold
+    characters on which Unicode tables differ, or the tokenizer isn't of the byte-level kind."""
+    t, known = load_tokenizer(path), _known_pieces(path)
+    if known is None:
+        return [e.ids for e in t.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+    look, cut, joined = known.__getitem__, _CUT.findall, chain.from_iterable
+    out = [[] if not x else None if not x.isascii() and _ODD.search(x) else list(joined(map(look, cut(x)))) for x in texts]
+    odd = [i for i, x in enumerate(out) if x is None]
+    for i, e in zip(odd, t.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
+        out[i] = e.ids
+    return out
 
 
 #: Characters that are given to the library at a time, so that a batch of long texts fits in memory.

@@ -50,3 +50,10 @@ def test_tables(spark):
     assert {r.doc_id: r.n_tokens for r in en.token_counts(df).collect()} == {k: len(v) for k, v in got.items()}
     assert {r.doc_id: r.text for r in en.decoded(out).collect()} == {1: "", 2: "", 3: "hello world", None: " ", 5: long}
     assert en.encoded(df.limit(0)).count() == 0
+
+
+def test_ids_by_pieces_equal_those_of_the_library_on_every_character():
+    t = en.load_tokenizer(en.TOKENIZER)
+    texts = [f"ab{c}cd7{c}8 {c}{c}!{c}. {c}'s  {c}\n\n{c} " for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000, 7)])]
+    texts += ["", "   ", "a  b   c    ", "it's 'tis we'll've \u00a0\u00a0x", "word" * 500, "<|endoftext|> x", "\x1c\x1d \x85a"]
+    assert en.encode_batch(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
