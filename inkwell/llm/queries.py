@@ -44,6 +44,10 @@ def p4_sources(spark, d):
     return truncation.cut_shares(_calls(spark, d))
 
 
+def p4_prefixes(spark, d):
+    return truncation.prefix_lines(_calls(spark, d))
+
+
 def p5_found(spark, d):
     return overlap.cross_split_pairs(_sources(spark, d))
 
@@ -72,7 +76,7 @@ def p8_canonical(spark, d):
     return canonical.canonical_texts(_documents(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_pieces, p3_found, p4_found, p4_sources, p5_found, p5_counts, p6_ids, p7_containers, p7_fill, p8_found, p8_canonical)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_pieces, p3_found, p4_found, p4_sources, p4_prefixes, p5_found, p5_counts, p6_ids, p7_containers, p7_fill, p8_found, p8_canonical)}
 
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -84,4 +88,6 @@ ORACLES: dict[str, str] = {
         c AS (SELECT tbl, row_id, count(DISTINCT i + d) AS n FROM g, (SELECT unnest([0, 1, 2]) AS d) WHERE again GROUP BY tbl, row_id)
         SELECT c.tbl, c.row_id FROM c JOIN w USING (tbl, row_id) WHERE n >= 0.4 * len(w)""",
     "p2_found": f"SELECT DISTINCT creation_id, chunk_index FROM chunks WHERE len(list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda w: w <> '')) > 120",
+    "p4_prefixes": """SELECT call_id, provider, model_id FROM calls a WHERE status = 'ok' AND response <> '' AND EXISTS (
+        SELECT 1 FROM calls b WHERE b.status = 'ok' AND starts_with(b.response, a.response) AND length(b.response) > length(a.response))""",
 }

@@ -1,14 +1,17 @@
 """Text cut off by field limits.
 
-A value that is a strict prefix of a longer copy elsewhere was cut. Distinct values are
-range-partitioned and sorted, where a value is a strict prefix of some other value exactly
-if its next neighbour starts with it, so one pass over sorted neighbours finds them all,
-however many values share a beginning. Most cut answers have no longer copy, so a second
-measure follows for every line: an answer to a rewriting prompt must cover the end of its
-passage (``pairs.defect_of``), and a JSON value must be closed.
+A value that is a strict prefix of a longer copy elsewhere was cut. Values are cut into blocks at
+fixed places (``block_starts``); each block goes under the hash of all that stands before it. Where
+a value ends in a block, every value with the same hash before it and more in the block is asked for
+the hash of its prefix of that length, and a self-join on whole hashes tells which values have a
+longer copy. A block has at most 256 characters, so a hash is asked for at most 256 lengths however
+many values share a beginning; whole texts are neither sorted, nor sampled, nor gathered anywhere.
 
-Values are sorted with word characters before all others, so that the next neighbour goes on
-inside a value's last word if any longer copy does.
+Most cut answers have no longer copy, so a second measure follows for every line: an answer to a
+rewriting prompt must cover the end of its passage (``pairs.judged``), and a JSON value must be closed.
+
+Of a value's longer copies the one that comes first counts for how it goes on, in an order in which
+word characters stand before all others: it goes on inside the value's last word if any copy does.
 
 Defined results: null, blank and placeholder responses are not cut; a response that agrees with
 the last word of its passage or closes its JSON value is whole even if a longer copy goes on; one
@@ -23,25 +26,28 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, spread
+from ..session import spread
 from .pairs import is_blank, judged, unclosed
 from .wording import passage_of, unwrap, words
 
-#: Characters under which a value is no evidence as a prefix.
-LEAST_PREFIX = 8
+#: Where the first blocks start; from the last on a block starts every BLOCK characters.
+FIRST_STARTS = (0, 8, 32, 128, 256)
+BLOCK = 256
 _CLOSED = re.compile("[.!?;:\u2026\u3002\uff01\uff1f)\\]}][\"'\u2019\u201d\u00bb)*_`]*\\Z")
 #: Stands before every character that is not of a word, and sorts behind all others.
 _LAST = "\U0010ffff"
 _NO_WORD = re.compile(r"[\W_]")
-#: Characters of a longer copy's sort form that are kept of what follows a value.
-AHEAD = 80
+#: Keys over which the beginnings of all values are dealt.
+SALTS = 64
+#: Characters of a longer copy that are kept of what follows a value: two words of it are looked at.
+AHEAD = 40
 _LIMIT_REASONS = ("length", "max_tokens", "max_output_tokens", "token_limit")
 
 
@@ -75,78 +81,88 @@ def state_of(tag: str | None, prompt: str | None, response: str | None) -> str:
     return judged_line(tag, prompt, response)[0]
 
 
-def sort_form(value: str) -> str:
-    """A value such that its longer copies follow it, those that go on inside its last word first."""
-    return _NO_WORD.sub(lambda m: _LAST + m.group(), value)
+def block_starts(n: int) -> list[int]:
+    """Where the blocks of n characters start."""
+    return [x for x in FIRST_STARTS if x < n] + list(range(FIRST_STARTS[-1] + BLOCK, n, BLOCK))
 
 
-def _key(value: str) -> bytes:
-    return hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=12).digest()
+def blocks(value: str) -> tuple[list[tuple[bytes, str, int]], bytes]:
+    """(hash of all before it, the block and AHEAD characters more, characters of a full block) of each
+    block, and the hash of the whole value. The hash of a beginning is the same in every value that
+    begins so: each is made from the hash before its block and what of it lies in the block."""
+    starts = block_starts(len(value))
+    out, before = [], b""
+    for i, a in enumerate(starts):
+        end = starts[i + 1] if i + 1 < len(starts) else (FIRST_STARTS[i + 1] if i + 1 < len(FIRST_STARTS) else a + BLOCK)
+        out.append((before, value[a : end + AHEAD], end - a))
+        before = hashlib.md5(before + value[a:end].encode("utf-8", "surrogatepass")).digest()
+    return out, before
 
 
-def strict_prefixes(values: DataFrame) -> DataFrame:
-    """values: key BINARY, value STRING, distinct. Gives the keys of values that are strict
-    prefixes of another, and what follows in the next of those (``ahead``, AHEAD characters). The only thing gathered beyond the neighbours is each partition's
-    first and last value, to compare across the borders between partitions."""
+def value_hash(value: str) -> bytes:
+    """The hash of a whole value, as ``longer_copies`` has it."""
+    return blocks(value)[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        first = before = None
-        for b in batches:
-            hits: list[bytes] = []
-            ahead: list[str] = []
-            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if before is None:
-                    first = (k, v)
-                elif v.startswith(before[1]) and len(v) > len(before[1]):
-                    hits.append(before[0])
-                    ahead.append(v[len(before[1]) :][:AHEAD])
-                before = (k, v)
-            yield _edge(hits, [None] * len(hits), [part] * len(hits), [None] * len(hits), ahead)
-        if before is not None:
-            yield _edge([first[0], before[0]], ["first", "last"], [part, part], [first[1], before[1]], [None, None])
-
-    def _edge(keys, kinds, parts, texts, ahead) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(kinds, pa.string()), pa.array(parts, pa.int32()), pa.array(texts, pa.string()), pa.array(ahead, pa.string())], ["key", "kind", "part", "value", "ahead"])
-
-    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = values.select("key", "value").repartitionByRange(n, "value").sortWithinPartitions("value")
-    found = checkpointed(ordered.mapInArrow(run, "key binary, kind string, part int, value string, ahead string"))
-    # two rows a partition
-    edges = found.where("kind IS NOT NULL").withColumn("next", F.lead("value").over(Window.partitionBy().orderBy("part", "kind")))
-    across = edges.where((F.col("kind") == "last") & F.col("next").startswith(F.col("value")) & (F.length("next") > F.length("value")))
-    across = across.select("key", F.expr(f"substring(next, length(value) + 1, {AHEAD})").alias("ahead"))
-    return found.where("kind IS NULL").select("key", "ahead").unionByName(across)
-
-
-def continuations(prefixes: DataFrame) -> DataFrame:
-    """key, goes_inside (a longer copy of the value goes on with a word character) and next_words
-    (the first two words of what follows in the next one) of ``strict_prefixes`` over sort forms."""
+
+def longer_copies(texts: DataFrame, form=None) -> DataFrame:
+    """texts: one STRING column. key, goes_inside, next_words of every value, and of every other beginning
+    of the same length, of which a strictly longer copy stands in the column: whether a copy goes on with a
+    word character, and the first two words of what follows in the first copy. ``form``: what a text's
+    value is (the text itself, where it isn't given); null and empty values are none.
+
+    What is shuffled is each block once, with AHEAD characters more. Equal texts of a batch are
+    folded before. The empty beginning, which all values share, is dealt over SALTS keys, and its at most
+    eight lengths go to each; other hashes that many values share are skewed keys of a plain join
+    with one row of lengths each, which adaptive execution splits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {form(t) if form else t for t in set(b.column(0).to_pylist()) if t}
+            rows, short = [], set()
+            for v in found:
+                for before, text, full in blocks(v)[0] if v else ():
+                    n = len(text) if len(text) <= full else None  # else the value goes on
+                    if before:
+                        rows.append((before, text, n))
+                    else:
+                        rows.append((bytes([zlib.crc32(text.encode("utf-8", "surrogatepass")) % SALTS]), text, None))
+                        short.add(n)
+            rows += [(bytes([k]), None, n) for n in short - {None} for k in range(SALTS)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.int32())], ["at", "text", "n"])
+
+    def following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ahead = b.column(1).to_pylist()
             inside = [not x.startswith(_LAST) for x in ahead]
-            following = [words(x.replace(_LAST, ""))[:2] for x in ahead]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(inside, pa.bool_()), pa.array(following, pa.list_(pa.string()))], ["key", "goes_inside", "next_words"])
+            after = [words(x.replace(_LAST, ""))[:2] for x in ahead]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(inside, pa.bool_()), pa.array(after, pa.list_(pa.string()))], ["key", "goes_inside", "next_words"])
 
-    return prefixes.select("key", "ahead").mapInArrow(run, "key binary, goes_inside boolean, next_words array<string>")
+    rows = texts.transform(spread).mapInArrow(run, "at binary, text string, n int")
+    ends = rows.where("n IS NOT NULL").groupBy("at").agg(F.collect_set("n").alias("lengths"))
+    asked = rows.where("text IS NOT NULL").select("at", "text").join(ends, "at").select("at", "text", F.explode(F.filter("lengths", lambda n: n < F.length("text"))).alias("n"))
+    before = F.when(F.length("at") > 1, F.col("at")).otherwise(F.lit(b""))
+    key = F.unhex(F.md5(F.concat(before, F.encode(F.substring("text", F.lit(1), F.col("n")), "UTF-8"))))
+    ahead = F.regexp_replace(F.substring("text", F.col("n") + 1, F.lit(AHEAD)), r"(?U)[\W_]", _LAST + "$0")
+    return asked.select(key.alias("key"), ahead.alias("ahead")).groupBy("key").agg(F.min("ahead").alias("ahead")).mapInArrow(following, "key binary, goes_inside boolean, next_words array<string>")
 
 
-def response_bodies(calls: DataFrame) -> DataFrame:
-    """key, value (sort form) of every sound line's response without its wrapping, if it is long enough to be
-    evidence. Reads nothing but the responses."""
+def prefix_lines(calls: DataFrame) -> DataFrame:
+    """call_id, provider, model_id of the sound lines whose stored response, as it stands, is a strict
+    prefix of another sound line's."""
+    sound = calls.where("status = 'ok' AND response <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [x for x in map(unwrap, b.column(0).to_pylist()) if len(x) >= LEAST_PREFIX]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_key, kept), pa.binary()), pa.array(map(sort_form, kept), pa.string())], ["key", "value"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([value_hash(x) for x in b.column(3).to_pylist()], pa.binary())], ["call_id", "provider", "model_id", "key"])
 
-    return calls.where("status = 'ok' AND response IS NOT NULL").select("response").transform(spread).mapInArrow(run, "key binary, value string")
+    lines = spread(sound.select(F.col("call_id").cast("bigint"), "provider", "model_id", "response")).mapInArrow(run, "call_id bigint, provider string, model_id string, key binary")
+    return lines.join(longer_copies(sound.select("response")).select("key"), "key", "left_semi").drop("key")
 
 
 def ledger_states(calls: DataFrame) -> DataFrame:
-    """call_id, provider, model_id, state, unmatched, key, open_end, in_word, at_limit of each sound line."""
+    """call_id, provider, model_id, state, unmatched, key, open_end, in_word, at_limit of each sound line. The
+    key of a blank line is its own number: it matches nothing, and blank lines don't meet in one group."""
     fields = "call_id bigint, provider string, model_id string, state string, unmatched array<string>, key binary, open_end boolean, in_word boolean, at_limit boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +172,7 @@ def ledger_states(calls: DataFrame) -> DataFrame:
             body = [unwrap(r) for r in response]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), b.column(1), b.column(2), pa.array(state, pa.string()), pa.array([x or None for x in end], pa.list_(pa.string())), pa.array(map(_key, body), pa.binary()),
+                    b.column(0), b.column(1), b.column(2), pa.array(state, pa.string()), pa.array([x or None for x in end], pa.list_(pa.string())), pa.array([value_hash(x) if x else str(i).encode() for i, x in zip(b.column(0).to_pylist(), body)], pa.binary()),
                     pa.array([_CLOSED.search(x[-12:]) is None for x in body], pa.bool_()), pa.array([bool(x) and _NO_WORD.match(x[-1]) is None for x in body], pa.bool_()), b.column(6),
                 ],
                 ["call_id", "provider", "model_id", "state", "unmatched", "key", "open_end", "in_word", "at_limit"],
@@ -169,8 +185,7 @@ def ledger_states(calls: DataFrame) -> DataFrame:
 
 def cut_lines(calls: DataFrame) -> DataFrame:
     """call_id, provider, model_id, is_cut, has_longer_copy of every line with status ok."""
-    values = response_bodies(calls).groupBy("key").agg(F.first("value").alias("value"))
-    prefixes = continuations(strict_prefixes(values)).withColumn("has_longer_copy", F.lit(True))
+    prefixes = longer_copies(calls.where("status = 'ok' AND response IS NOT NULL").select("response"), unwrap).withColumn("has_longer_copy", F.lit(True))
     out = ledger_states(calls).join(prefixes, "key", "left").withColumn("has_longer_copy", F.coalesce("has_longer_copy", F.lit(False)))
     unsure = (F.col("state") == "unknown") & F.col("open_end") & (F.col("has_longer_copy") | F.col("at_limit"))
     goes_on = (F.col("in_word") & F.col("goes_inside")) | F.arrays_overlap("unmatched", "next_words")

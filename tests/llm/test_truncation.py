@@ -6,14 +6,33 @@ from inkwell.llm import truncation as tr
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_strict_prefixes_against_brute_force(spark, seed):
+def test_longer_copies_against_brute_force(spark, seed):
     rng = random.Random(seed)
     values = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(150)} | {"x" * n for n in range(1, 40)} | {"é\x00z", "é", "日", "日本"}
-    df = spark.createDataFrame([(tr._key(v), v) for v in values], "key binary, value string")
-    got = sorted(bytes(r[0]) for r in tr.strict_prefixes(df).collect())
-    want = sorted(tr._key(v) for v in values if any(w != v and w.startswith(v) for w in values))
-    assert got == want
-    assert tr.strict_prefixes(df.limit(0)).count() == 0
+    long = ["".join(rng.choice("ab c.") for _ in range(rng.choice([127, 128, 129, 600, 1100]))) for _ in range(12)]
+    values |= {v[: rng.choice([7, 8, 9, 31, 32, 33, 127, 128, 129, 255, 256, 257, 512, 513, 1000, len(v)])] for v in long for _ in range(9)}
+    df = spark.createDataFrame([(v,) for v in [*values, *values]] + [(None,), ("",)], "text string")
+    got = {bytes(r.key): (r.goes_inside, r.next_words) for r in tr.longer_copies(df).collect()}
+    copies = {v: [w[len(v) :] for w in values if w != v and w.startswith(v)] for v in values}
+    assert {v for v in values if tr.value_hash(v) in got} == {v for v, ws in copies.items() if ws}
+    for v, ws in copies.items():
+        if ws:
+            assert got[tr.value_hash(v)][0] == any(w[0].isalnum() for w in ws)
+    assert tr.longer_copies(df.limit(0)).count() == 0
+
+
+def test_hashes_of_beginnings_are_those_of_values():
+    v = "".join(random.Random(1).choice("abc é") for _ in range(1500))
+    at = tr.block_starts(len(v))
+    for n in [*range(1, 300), 511, 512, 513, 768, 769, 1500]:
+        k = max(i for i, a in enumerate(at) if a < n)
+        assert tr.value_hash(v[:n]) == tr.hashlib.md5(tr.blocks(v)[0][k][0] + v[at[k] : n].encode()).digest()
+
+
+def test_prefix_lines(spark):
+    rows = [(1, "ok", "ab"), (2, "ok", "abc"), (3, "ok", "ab"), (4, "failed", "a"), (5, "ok", ""), (6, "ok", None), (7, "ok", "abc d"), (8, "failed", "abc d e")]
+    df = spark.createDataFrame([(*r, "p", "m", "clash") for r in rows], "call_id long, status string, response string, provider string, model_id string, key string")
+    assert sorted(r.call_id for r in tr.prefix_lines(df).collect()) == [1, 2, 3]
 
 
 def test_states():
