@@ -1,15 +1,19 @@
 """Same or near-same records across splits.
 
-Evaluation records are normalised, sharded, and each shard's words go into an
-Aho-Corasick automaton that scans the training records of the shard; the matched
-intervals are merged into a coverage for each evaluation record, and pairs covered
-but for what two slips of the pen can touch are then compared exactly.
+A record's passage is its name, normalised. Evaluation passages are sharded; the pieces of a shard's
+passages go into an Aho-Corasick automaton, which scans the training records of the shard with
+their words run together, so that lost and added spaces don't count. The intervals of an evaluation
+passage whose pieces were matched are merged into its coverage. A slip of the pen touches one piece,
+or two where neighbours are swapped across their border, so what is uncovered by more than
+MOST_PIECES pieces is no overlap; what remains is compared exactly (``same_work``).
 
 Records meet in a shard by *signatures*: pairs of their words (single words and forms
 with a letter left out, also run together, for short records) together with their numerals. Two records
 that differ by at most two slips share a signature, so no training record is scanned
-against shards it can't belong to, and the work follows the records. Equal records are
-folded before, and their rows join the pairs afterwards.
+against shards it can't belong to, and the work follows the records. Records of equal keys are
+folded before, and their rows join the pairs afterwards. A signature whose two sides would make more
+than HOT_PAIRS pairs is refined by each other word of the record (that word, or it with a letter left
+out, is shared too), and what is still hot then is scanned in blocks.
 
 Defined results: rows with a null set_name belong to no split; null ids name no work,
 but may share numbers; null, empty and non-positive numbers are shared with nobody; a
@@ -29,11 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 TRAINING = ("texts", "noise_pool")
 EVALUATION = ("heldout", "mixture_sources")
 SLIPS = 2
-#: Signatures of evaluation records in one shard's automaton, on average.
+#: Pieces of an evaluation passage that two slips, or a lost space and a slip, can leave uncovered.
+MOST_PIECES = 4
+#: Signed records in a shard, on average.
 SHARD_SIGNATURES = 20_000
+#: Pairs of records that one signature, or one block of it, may give a task to look at.
+HOT_PAIRS = 100_000
 
 # Articles and joining words that a name may have or lack.
 JOINING = frozenset("a an the of in on and or to for with from by le la les l un une des du de et der die das ein eine und von el los las y o".split())
@@ -41,6 +51,7 @@ JOINING = frozenset("a an the of in on and or to for with from by le la les l un
 EDITION = frozenset("copy dup duplicate edition ed edn rev revised new reprint reprinted reissue printing another alt bis".split())
 # Words before a part's number.
 PARTS = {"vol": "vol", "volume": "vol", "part": "part", "pt": "part", "book": "book", "bk": "book", "no": "no", "number": "no", "act": "act", "canto": "canto", "chapter": "chapter"}
+_PART_NAMES = frozenset(PARTS.values())
 _ROMAN = re.compile(r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _EDITION_MARK = re.compile(r"(?:v|ver|ed|edn|rev|copy)\d+|\d+(?:st|nd|rd|th)")
 _WORD = re.compile(r"[^\W_]+")
@@ -99,6 +110,25 @@ def signatures(words: tuple[str, ...], numerals: tuple[str, ...], together: str)
     return [f"{p}|{n}" for p in parts] + [f"={together}"]
 
 
+def refined(words: tuple[str, ...], signature: str) -> list[str]:
+    """A signature of words with each other word of its record, with each form of that word that lacks
+    a letter (two, where it is the only one), and with the others run together where they are two at
+    most. Records within two slips that share the signature share one of these: of several other words
+    one is equal or slipped once. Records that agree run together are left as they are."""
+    if signature[0] in "=+":
+        return [signature]
+    others = list(words)
+    for w in signature.rpartition("|")[0].split(" "):
+        if w in others:
+            others.remove(w)
+    forms = {x for w in others for x in left_out(w, 2 if len(others) == 1 else 1)}
+    if len(others) <= 2:
+        forms |= left_out("".join(others), 1) | left_out("".join(reversed(others)), 1)
+    if all(_joining_slips(w, SLIPS) <= SLIPS for w in others):  # as good as none
+        forms.add("")
+    return [f"{signature}&{x}" for x in forms]
+
+
 def slips(a: str, b: str, most: int) -> int:
     """Letters added, dropped, changed or swapped with the next; most + 1 where there are more."""
     if abs(len(a) - len(b)) > most:
@@ -159,96 +189,177 @@ def same_work(a: tuple, b: tuple, most: int = SLIPS) -> bool:
     return len(ra) != len(rb) and bool(ra) and bool(rb) and any(slips(p, q, most - 1) <= most - 1 for p in joined(ra) for q in joined(rb))
 
 
+def pieces(words: tuple[str, ...]) -> list[tuple[int, int, str]]:
+    """(start, end, piece) of a passage of words run together: words of six letters and more are cut into
+    three pieces, of four and more into two. A part's name is left out, as it may be spelt in other ways."""
+    out, at = [], 0
+    for w in words:
+        if w not in _PART_NAMES:
+            k = min(3, max(1, len(w) // 2))
+            cuts = [at + len(w) * i // k for i in range(k + 1)]
+            out += [(a, b, w[a - at : b - at]) for a, b in zip(cuts, cuts[1:])]
+        at += len(w)
+    return out
+
+
+def uncovered(parts: list[tuple[int, int, str]], found: set[str]) -> int:
+    """How many pieces of a passage lie in none of the merged intervals of its matched pieces."""
+    merged: list[list[int]] = []
+    for a, b, piece in parts:
+        if piece in found:
+            if merged and merged[-1][1] == a:
+                merged[-1][1] = b
+            else:
+                merged.append([a, b])
+    i = left = 0
+    for a, b, _ in parts:
+        while i < len(merged) and merged[i][1] <= a:
+            i += 1
+        left += not (i < len(merged) and merged[i][0] <= a and b <= merged[i][1])
+    return left
+
+
+def as_key(text: str) -> tuple[tuple[str, ...], tuple[str, ...], str]:
+    """A name's key from the form in which it is shuffled."""
+    words, numerals, together = text.split("\x1e")
+    return tuple(words.split("\x1f")) if words else (), tuple(numerals.split("\x1f")) if numerals else (), together
+
+
+def key_text(name: str | None) -> str | None:
+    """A name's key as one string; None where it names nothing."""
+    words, numerals, together = name_key(name)
+    return "\x1e".join(("\x1f".join(words), "\x1f".join(numerals), together)) if together else None
+
+
 def _scan(evaluation: pd.DataFrame, training: pd.DataFrame) -> list[tuple[str, str]]:
-    """Pairs of ids of one shard: the automaton of its evaluation words scans its training records."""
+    """Pairs of keys of one shard: the automaton of its evaluation passages scans its training records."""
     if not len(evaluation) or not len(training):
         return []
-    keys = {n: name_key(n) for n in {*evaluation["name"], *training["name"]}}
-    by_signature: dict[str, list[str]] = {}
+    held: dict[str, list[str]] = {}
+    for text, sig in zip(evaluation["key"], evaluation["sig"]):
+        held.setdefault(sig, []).append(text)
+    passages = {}
     automaton = ahocorasick.Automaton()
-    holders: dict[str, set[str]] = {}
-    for name, sig in zip(evaluation["name"], evaluation["sig"]):
-        by_signature.setdefault(sig, []).append(name)
-    for name in set(evaluation["name"]):
-        for w in keys[name][0]:
-            holders.setdefault(w, set()).add(name)
-    for w in holders:
-        automaton.add_word(f" {w} ", w)
-    if holders:
+    for text in set(evaluation["key"]):
+        key = as_key(text)
+        passages[text] = key, pieces(key[0])
+        for _, _, piece in passages[text][1]:
+            automaton.add_word(piece, piece)
+    if len(automaton):
         automaton.make_automaton()
     routed: dict[str, set[str]] = {}
-    for name, sig in zip(training["name"], training["sig"]):
-        if sig in by_signature:
-            routed.setdefault(name, set()).update(by_signature[sig])
+    for text, sig in zip(training["key"], training["sig"]):
+        if sig in held:
+            routed.setdefault(text, set()).update(held[sig])
     out = []
-    for name, candidates in routed.items():
-        key = keys[name]
-        intervals = {w for _, w in automaton.iter(f" {'  '.join(key[0])} ")} if holders else set()
+    for text, candidates in routed.items():
+        key = as_key(text)
+        found = {piece for _, piece in automaton.iter(key[2])} if len(automaton) else set()
         for other in candidates:
-            mine = keys[other]
-            # the words of the evaluation record that the matched intervals cover
-            covered = sum(w in intervals for w in mine[0])
-            if (covered >= len(mine[0]) - SLIPS - 1 or key[2] == mine[2]) and same_work(mine, key):
-                out.append((other, name))
+            mine, parts = passages[other]
+            if uncovered(parts, found) <= MOST_PIECES and same_work(mine, key):
+                out.append((other, text))
     return out
 
 
-def _splits(sources: DataFrame) -> DataFrame:
-    """decl_order, id, gutenberg_ids, author, side, set_name in one spelling."""
+def records(sources: DataFrame) -> DataFrame:
+    """decl_order, side, set_name (in one spelling), author, numbers, key of every row of a split. Kept
+    once: all that follows reads these, not the sources."""
     spelt = F.regexp_replace(F.lower(F.trim(F.regexp_replace("set_name", r"\s+", " "))), r"[\s_-]+", "_")
     spelt = F.when(spelt == "held_out", "heldout").when(spelt == "noisepool", "noise_pool").when(spelt == "mixturesources", "mixture_sources").when(spelt == "text", "texts").otherwise(spelt)
     side = F.when(spelt.isin(*TRAINING), "training").when(spelt.isin(*EVALUATION), "evaluation")
-    return sources.select("decl_order", "id", "gutenberg_ids", "author", spelt.alias("set_name"), side.alias("side")).where(side.isNotNull())
+    numbers = F.array_sort(F.array_distinct(F.filter("gutenberg_ids", lambda g: g > 0)))
+    rows = sources.select(F.col("decl_order").cast("bigint"), side.alias("side"), spelt.alias("set_name"), F.col("author").cast("string"), numbers.cast("array<bigint>").alias("numbers"), F.col("id").cast("string").alias("name")).where(F.col("side").isNotNull())
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([key_text(n) for n in b.column(5).to_pylist()], pa.string())], ["decl_order", "side", "set_name", "author", "numbers", "key"])
 
+    return checkpointed(rows.mapInArrow(keys, "decl_order bigint, side string, set_name string, author string, numbers array<bigint>, key string"))
 
-def same_names(rows: DataFrame) -> DataFrame:
-    """name_e, name_t: ids of evaluation and training records that name the same work."""
-    spark = rows.sparkSession
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(classes: DataFrame, refine: bool) -> DataFrame:
+    """side, key, sig: the signatures of keys, or those that refine the column sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            side, name, sig = [], [], []
-            for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for x in signatures(*name_key(n)):
-                    side.append(s)
-                    name.append(n)
-                    sig.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(side, pa.string()), pa.array(name, pa.string()), pa.array(sig, pa.string())], ["side", "name", "sig"])
-
-    names = rows.where("id IS NOT NULL").select("side", F.col("id").alias("name")).distinct()
-    signed = names.mapInArrow(sign, "side string, name string, sig string")
-    total = signed.where("side = 'evaluation'").count()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_SIGNATURES))
+            rows = []
+            for s, text, sig in zip(*(b.column(i).to_pylist() for i in range(3))):
+                key = as_key(text)
+                rows += [(s, text, x) for x in (refined(key[0], sig) if refine else signatures(*key))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["side", "key", "sig"])
+
+    return classes.select("side", "key", "sig").mapInArrow(run, "side string, key string, sig string")
+
+
+def _live(signed: DataFrame) -> DataFrame:
+    """Signed keys whose signature both sides hold, with how many hold it on each."""
+    n = signed.groupBy("sig").agg(F.count_if(F.col("side") == "evaluation").alias("n_e"), F.count_if(F.col("side") == "training").alias("n_t"))
+    return signed.join(n.where("n_e > 0 AND n_t > 0"), "sig")
+
+
+def same_names(rows: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """key_e, key_t: keys of evaluation and training records (``records``) that name the same work."""
+    spark = rows.sparkSession
+    signed = _signed(rows.where("key IS NOT NULL").select("side", "key", F.lit("").alias("sig")).distinct(), False)
+    live = checkpointed(_live(signed))
+    hot = F.col("n_e") * F.col("n_t") > hot_pairs
+    again = _live(_signed(live.where(hot), True))
+    # blocks such that two of them make at most hot_pairs pairs: each evaluation block meets each training block
+    side = int(hot_pairs**0.5)
+    own, other = (F.when(F.col("side") == "evaluation", F.ceil(F.col(a) / side)).otherwise(F.ceil(F.col(b) / side)) for a, b in (("n_e", "n_t"), ("n_t", "n_e")))
+    cold = F.col("n_e") * F.col("n_t") <= hot_pairs
+    mine, all_ = F.when(cold, 0).otherwise(F.pmod(F.xxhash64("key"), own)), F.when(cold, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), other.cast("bigint") - 1))
+    again = again.select("side", "key", "sig", mine.alias("mine"), F.explode(all_).alias("other"))
+    pair = F.when(F.col("side") == "evaluation", F.concat_ws("/", "mine", "other")).otherwise(F.concat_ws("/", "other", "mine"))
+    again = again.select("side", "key", F.concat_ws("#", "sig", pair).alias("sig"))
+    signed = live.where(~hot).select("side", "key", "sig").unionByName(again)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-live.count() // SHARD_SIGNATURES))
     signed = signed.withColumn("shard", F.pmod(F.xxhash64("sig"), F.lit(shards)))
 
     def match(evaluation: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_scan(evaluation, training), columns=["name_e", "name_t"])
+        return pd.DataFrame(_scan(evaluation, training), columns=["key_e", "key_t"])
+
+    # columns of their own for each side
+    left, right = (signed.where(F.col("side") == s).select(*[F.col(c).alias(c) for c in ("shard", "key", "sig")]).groupBy("shard") for s in ("evaluation", "training"))
+    return left.cogroup(right).applyInPandas(match, "key_e string, key_t string").distinct()
 
-    left, right = (signed.where(F.col("side") == s).groupBy("shard") for s in ("evaluation", "training"))
-    return left.cogroup(right).applyInPandas(match, "name_e string, name_t string").distinct()
+
+def _linked(rows: DataFrame, id_col: str) -> DataFrame:
+    """e, t: ids of evaluation and training rows that name the same work or share a number, each pair once."""
+    e, t = (rows.where(F.col("side") == s) for s in ("evaluation", "training"))
+    by_name = same_names(rows).join(e.select(F.col("key").alias("key_e"), F.col(id_col).alias("e")), "key_e").join(t.select(F.col("key").alias("key_t"), F.col(id_col).alias("t")), "key_t").select("e", "t")
+    numbers = [x.select(F.col(id_col).alias(c), F.explode("numbers").alias("number")) for x, c in ((e, "e"), (t, "t"))]
+    return by_name.unionByName(numbers[0].join(numbers[1], "number").select("e", "t")).distinct()
 
 
 def cross_split_pairs(sources: DataFrame) -> DataFrame:
     """decl_a < decl_b of training and evaluation rows that share a number or name the same work."""
-    rows = _splits(sources)
-    e = rows.where("side = 'evaluation'")
-    t = rows.where("side = 'training'")
-    named = same_names(rows)
-    by_name = named.join(e.select(F.col("id").alias("name_e"), F.col("decl_order").alias("e")), "name_e").join(t.select(F.col("id").alias("name_t"), F.col("decl_order").alias("t")), "name_t").select("e", "t")
-
-    def numbers(side: DataFrame, as_: str) -> DataFrame:
-        own = F.filter(F.array_distinct("gutenberg_ids"), lambda g: g > 0)
-        return side.select(F.col("decl_order").alias(as_), F.explode(own).alias("number"))
-
-    by_number = numbers(e, "e").join(numbers(t, "t"), "number").select("e", "t")
-    pairs = by_name.unionByName(by_number).distinct()
+    pairs = _linked(records(sources), "decl_order")
     return pairs.select(F.least("e", "t").alias("decl_a"), F.greatest("e", "t").alias("decl_b"))
 
 
+def overlap_classes(sources: DataFrame) -> DataFrame:
+    """decl_order, side, class_id, n_links of every row of a split: rows of a side whose keys and numbers are
+    equal are one class (``class_id``: the least decl_order in it), and n_links counts the rows of the other
+    side that a row overlaps. Links are found between classes, so copies are never expanded into pairs."""
+    rows = records(sources)
+    own = ["side", "key", "numbers"]
+    # a null key or array is one value of a group, as rows without one may still be equal in the other
+    classes = checkpointed(rows.groupBy(*own).agg(F.min("decl_order").alias("class_id"), F.count(F.lit(1)).alias("n_rows")))
+    links = checkpointed(_linked(classes, "class_id"))
+    n = [links.join(classes.select(F.col("class_id").alias(b), "n_rows"), b).groupBy(F.col(a).alias("class_id")).agg(F.sum("n_rows").alias("n_links")) for a, b in (("e", "t"), ("t", "e"))]
+    counted = classes.join(n[0].unionByName(n[1]), "class_id", "left").select(*[F.col(c).alias(f"_{c}") for c in own], "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    same = F.lit(True)
+    for c in own:
+        same = same & rows[c].eqNullSafe(counted[f"_{c}"])
+    return rows.join(counted, same).select("decl_order", "side", "class_id", "n_links")
+
+
 def overlap_counts(sources: DataFrame) -> DataFrame:
     """Evaluation rows, those that training holds too, and pairs, by evaluation set_name and author."""
-    e = _splits(sources).where("side = 'evaluation'").select("decl_order", "set_name", F.coalesce(F.trim("author"), F.lit("")).alias("author"))
-    pairs = cross_split_pairs(sources)
-    ends = pairs.select(F.explode(F.array("decl_a", "decl_b")).alias("decl_order")).groupBy("decl_order").agg(F.count(F.lit(1)).alias("n_pairs"))
+    rows = records(sources)
+    ends = _linked(rows, "decl_order").groupBy(F.col("e").alias("decl_order")).agg(F.count(F.lit(1)).alias("n_pairs"))
+    e = rows.where("side = 'evaluation'").select("decl_order", "set_name", F.coalesce(F.trim("author"), F.lit("")).alias("author"))
     out = e.join(ends, "decl_order", "left")
     return out.groupBy("set_name", "author").agg(F.count(F.lit(1)).alias("n_rows"), F.count("n_pairs").alias("n_overlapping"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"))

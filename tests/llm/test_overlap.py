@@ -73,6 +73,58 @@ def test_pairs_against_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == want
     counts = ov.overlap_counts(df.where("decl_order IS NOT NULL"))
     assert sum(r.n_pairs for r in counts.collect()) == len(want)
+    classes = {r.decl_order: r for r in ov.overlap_classes(df.where("decl_order IS NOT NULL")).collect()}
+    assert set(classes) == {a[0] for a in rows if a[0] is not None and side.get(a[3])}
+    assert all(r.n_links == sum(i in p for p in want) for i, r in classes.items())
+
+
+@pytest.mark.parametrize("hot", [1, 4, 50])
+def test_hot_signatures_lose_no_pair(spark, hot):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for _ in range(14)]
+    rows = []
+    for i in range(160):  # two words that all names hold
+        w = ["batarn", "toumpum", *rng.sample(words, rng.choice([0, 1, 2, 2]))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            j = rng.randrange(len(w))
+            k = rng.randrange(len(w[j]) - 1)
+            w[j] = rng.choice([w[j][:k] + w[j][k + 1 :], w[j][:k] + "z" + w[j][k + 1 :], w[j][:k] + w[j][k + 1] + w[j][k] + w[j][k + 2 :]])
+        rng.shuffle(w)
+        name = "_".join(w)
+        rows.append((i, name.replace("_", "", 1) if rng.random() < 0.2 else name, rng.choice(["texts", "heldout"])))
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "decl_order long, id string, set_name string, gutenberg_ids array<int>, author string")
+    keys = {n: ov.name_key(n) for _, n, _ in rows}
+    want = {(ov.key_text(a[1]), ov.key_text(b[1])) for a in rows for b in rows if a[2] == "heldout" and b[2] == "texts" and ov.same_work(keys[a[1]], keys[b[1]])}
+    assert len(want) > 50 and {tuple(r) for r in ov.same_names(ov.records(df), hot).collect()} == want
+
+
+def test_coverage_keeps_every_pair_of_the_same_work_and_turns_others_away():
+    rng = random.Random(5)
+    turned = kept = 0
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 10)))
+    for _ in range(6000):
+        k = rng.randint(1, 7)
+        words = [word() for _ in range(k)]
+        other = list(words)
+        for _ in range(rng.choice([1, 2, 2, 3, 5])):
+            i = rng.randrange(len(other))
+            w = other[i]
+            j = rng.randrange(len(w))
+            other[i] = rng.choice([w[:j] + w[j + 1 :], w[:j] + "z" + w[j:], w[:j] + w[j : j + 2][::-1] + w[j + 2 :], word()]) or "q"
+        if rng.random() < 0.4 and len(other) > 1:
+            i = rng.randrange(len(other) - 1)
+            other[i : i + 2] = [other[i] + other[i + 1]]
+        rng.shuffle(other)
+        for x, y in ((words, other), (other, words)):
+            a, b = ov.name_key("_".join(x)), ov.name_key("_".join(y))
+            parts = ov.pieces(a[0])
+            left = ov.uncovered(parts, {p for _, _, p in parts if p in b[2]})
+            if ov.same_work(a, b):
+                kept += 1
+                assert left <= ov.MOST_PIECES, (a, b)
+            elif left > ov.MOST_PIECES:
+                turned += 1
+    assert kept > 2000 and turned > 500
 
 
 def test_empty(spark):
