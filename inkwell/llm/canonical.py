@@ -11,10 +11,11 @@ equal and texts that look different stay different:
 * look-alike letters of a word get the one script that its other letters have,
   Latin where it has none.
 
-Quick checks isolate what is unstable: a text without a suspicious character is
-returned as it stands; else only the white-space-delimited segments that hold one
-are rewritten (a segment is the boundary context: neither composition nor the
-choice of a script crosses white space) and spliced into the unchanged rest.
+Quick checks isolate what is unstable (``is_stable``: the quick-check property of normal form
+KC, which form C follows from, no invisible character or other hyphen, and every word in one
+script that shows): a stable text is returned as it stands; else the white-space-delimited
+segments that fail the check are rewritten (a segment is the boundary context: neither composition
+nor the choice of a script crosses white space) and spliced into the unchanged rest.
 
 Defined results: null stays null; empty and blank texts keep their (mapped)
 blanks; equal texts stay equal; other columns pass through; long texts are
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed, spread
 
-# Letters that look like a Latin letter, by script (lower and upper case).
+# Letters that look like a Latin letter, by script (lower and upper case). Of the public table of
+# confusables (Unicode TS 39), the letters that are drawn alike, not only alike at a glance; two more by case.
 LOOKALIKES = {
     "CYRILLIC": ("асеорхуѕіјһӏԁԛԝАВЕКМНОРСТХУЅІЈԚԜ", "aceopxysijhldqwABEKMHOPCTXYSIJQW"),
     "GREEK": ("ονρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovpABEZHIKMNOPTYX"),
@@ -59,6 +61,32 @@ _AMBIGUOUS = dict.fromkeys([*_FROM_LATIN["CYRILLIC"], *_FROM_LATIN["GREEK"]])
 _KEPT_TAGS = ("<fraction>", "<super>", "<sub>", "<circle>", "<square>", "<vertical>")
 _CACHE_LIMIT = 300_000
 
+_HIDDEN = re.compile(f"{_INVISIBLE.pattern}|[{''.join(map(chr, _HYPHENS))}]")
+
+
+def _letters(first: int, last: int, of: str) -> tuple[str, str]:
+    """A script's letters between two code points: all of them, and those that show it, as their base
+    letter looks like no Latin one."""
+    own = [c for c in map(chr, range(first, last + 1)) if c.isalpha()]
+    return "".join(own), "".join(c for c in own if unicodedata.normalize("NFD", c)[0] not in LOOKALIKES[of][0])
+
+
+_CYRILLIC, _SHOWN_CYRILLIC = _letters(0x400, 0x52F, "CYRILLIC")
+_GREEK, _SHOWN_GREEK = (a + b for a, b in zip(_letters(0x370, 0x3FF, "GREEK"), _letters(0x1F00, 0x1FFF, "GREEK")))
+#: A character whose word must be looked at: a letter of a script with look-alikes.
+_OTHER_SCRIPT = re.compile(f"[{_CYRILLIC}{_GREEK}{LOOKALIKES['ARMENIAN'][0]}]")
+_MARKS = "\u0300-\u036f"
+#: Words of one such script that a letter shows.
+_PLAIN_WORD = re.compile(f"[{_CYRILLIC}{_MARKS}]*[{_SHOWN_CYRILLIC}][{_CYRILLIC}{_MARKS}]*|[{_GREEK}{_MARKS}]*[{_SHOWN_GREEK}][{_GREEK}{_MARKS}]*")
+
+
+def is_stable(text: str) -> bool:
+    """Whether quick checks tell that ``canonical`` has nothing to change in a text, blanks aside."""
+    if not unicodedata.is_normalized("NFKC", text) or _HIDDEN.search(text):
+        return False
+    return _OTHER_SCRIPT.search(text) is None or all(_PLAIN_WORD.fullmatch(w) or _OTHER_SCRIPT.search(w) is None for w in _WORD.findall(text))
+
+
 
 def _plain_forms(text: str) -> str:
     """Compatibility forms of letters, digits and marks resolved, but for those that look different."""
@@ -93,18 +121,22 @@ class _Segments(dict):
     def __missing__(self, segment: str) -> str:
         if len(self) > _CACHE_LIMIT:
             self.clear()
-        out = _JOINED.sub(_JOIN, segment)
-        out = _INVISIBLE.sub("", out).replace(_JOIN, "\u200d").translate(_HYPHENS)
-        out = _plain_forms(unicodedata.normalize("NFC", out))
-        if not out.isascii():
-            # composed Latin letters with no look-alike need no second look
-            out = _WORD.sub(_one_script, unicodedata.normalize("NFD", out))
-            out = unicodedata.normalize("NFC", out)
+        out = segment if is_stable(segment) else _rewritten(segment)
         if len(segment) < 200:
             self[segment] = out
         return out
 
 
+def _rewritten(segment: str) -> str:
+    """The canonical form of an unstable segment."""
+    out = _JOINED.sub(_JOIN, segment)
+    out = _INVISIBLE.sub("", out).replace(_JOIN, "\u200d").translate(_HYPHENS)
+    out = _plain_forms(unicodedata.normalize("NFC", out))
+    if not out.isascii():
+        out = unicodedata.normalize("NFC", _WORD.sub(_one_script, unicodedata.normalize("NFD", out)))
+    return out
+
+
 _SEGMENTS = _Segments()
 
 
@@ -113,7 +145,7 @@ def canonical(text: str | None) -> str | None:
     if text is None or _SUSPICIOUS.search(text) is None:
         return text
     text = _BLANKS.sub(" ", _LINE_ENDS.sub("\n", text))
-    if text.isascii() and _SUSPICIOUS.search(text) is None:
+    if _SUSPICIOUS.search(text) is None or is_stable(text):
         return text
     return _SEGMENT.sub(lambda m: _SEGMENTS[m.group()], text)
 

@@ -32,6 +32,30 @@ def test_canonical_is_idempotent_and_composed(text):
     assert ca.canonical(once) == once and unicodedata.is_normalized("NFC", once)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=alphabet + "жЖαωΩйѐЙάѝՕօ", max_size=12))
+def test_quick_checks_never_pass_what_would_change(text):
+    segment = "".join(text.split())
+    if ca.is_stable(segment):
+        assert ca._rewritten(segment) == segment
+    assert ca.is_stable(ca.canonical(segment)) or ca._rewritten(ca.canonical(segment)) == ca.canonical(segment)
+
+
+def test_quick_checks_isolate_the_unstable_segments(monkeypatch):
+    asked = []
+    whole = ca._rewritten
+    monkeypatch.setattr(ca, "_rewritten", lambda x: asked.append(x) or whole(x))
+    monkeypatch.setattr(ca, "_SEGMENTS", ca._Segments())
+    assert ca.canonical("Собака лает, το σπίτι; café “Zoë”") == "Собака лает, το σπίτι; café “Zoë”" and not asked
+    assert ca.canonical("Собака ла​ет, café ｆull ½") == "Собака лает, café full ½" and asked == ["ла​ет,", "ｆull", "½"]
+
+
+def test_look_alikes_are_in_the_public_table_of_confusables(spark):
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    others = [(a, b) for own, latin in ca.LOOKALIKES.values() for a, b in zip(own, latin) if checker.getSkeleton(a) != checker.getSkeleton(b)]
+    assert others == [("ӏ", "l"), ("Ԛ", "Q")]  # the table has them under other letters of the same look, or in one case only
+
+
 def test_words_keep_their_script():
     assert ca.canonical("Собака и кот, το σπίτι") == "Собака и кот, το σπίτι" and ca.canonical("собaкa") == "собака"
 
