@@ -5,7 +5,8 @@ of the passage with the words of the answer to measure how much of the answer is
 copied, searches an Aho-Corasick automaton of refusals, keeps a delimiter stack
 over the answer's wrapping, and lets stopwords vote on its language. Where the
 answer stops in the passage comes from a longest common subsequence kept as one
-big integer (a bit for each passage word), so a pair costs one step a word.
+big integer (a bit for each passage word): a step for each word of the answer, each of them an operation
+on an integer of the passage's length, so the product of both lengths over the machine's word size.
 
 Defined results: a null answer is ``empty``; a null or blank passage can only
 give ``empty`` or ``refusal``; equal rows give equal results; other columns pass
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -43,23 +45,35 @@ PART = 3
 # Answers that stand for nothing.
 PLACEHOLDERS = {"na", "n a", "null", "none", "nil", "empty", "no output", "no answer", "no response", "blank", "nothing", "undefined", "nan", "tbd"}
 
-# What a refusal says, as words without marks (see wording.words).
-REFUSALS = (
-    "i must decline", "i have to decline", "i decline", "cant produce that", "cannot produce", "cant help with", "cannot help with", "cant assist", "cannot assist",
-    "cant rewrite", "cannot rewrite", "wont rewrite", "cant fulfill", "cannot fulfill", "cant comply", "cannot comply", "cant do that", "cant provide", "cannot provide",
-    "im not able to", "i am not able to", "im unable to", "i am unable to", "unable to comply", "would rather not alter", "i would rather not", "have to pass on this",
-    "isnt possible for me", "is not possible for me", "falls outside what i am permitted", "not permitted to", "not allowed to", "this is not something i can", "isnt something i can",
-    "no rewritten version will be", "the request has to go unanswered", "my guidelines say", "against my guidelines", "as a language system", "as a language model", "as an ai",
-    "ne peux pas réécrire", "ne peux pas traiter", "dépasse ce que je suis autorisé", "je ne suis pas en mesure", "je ne suis pas autorisé", "je dois refuser", "je dois décliner",
-    "kann ich bei dieser anfrage nicht helfen", "darf ich nicht umschreiben", "kann ich nicht umschreiben", "ich kann diesen", "muss ich ablehnen", "ich muss ablehnen", "bin nicht in der lage",
-    "no puedo reescribir", "no me está permitido", "no puedo ayudar", "no puedo atender", "no estoy autorizado", "debo rechazar", "tengo que rechazar", "no me es posible",
+# Cues of a refusal, as words without marks (see wording.words): what denies or declines, and
+# what the request was about. A refusal brings one of each close together, in whatever phrase.
+DENIALS = (
+    "cannot", "cant", "can not", "could not", "couldnt", "unable", "not able", "wont", "will not", "would not", "wouldnt", "not permitted", "not allowed", "not authorised", "not authorized", "isnt permitted", "isnt allowed",
+    "not possible", "isnt possible", "impossible", "not something", "isnt something", "rather not", "prefer not", "not going to", "not comfortable", "not appropriate", "decline", "declining", "refuse", "refusing",
+    "pass on", "no rewritten", "no rewrite", "no version", "unanswered", "refrain", "falls outside", "lies outside", "is outside", "beyond what", "against my", "against our", "prohibited", "forbidden", "violates", "not in a position", "must stop", "not willing",
+    "ne peux pas", "ne peut pas", "ne puis", "ne saurais", "ne suis pas", "refuser", "refuse de", "décliner", "décline", "pas autorisé", "pas en mesure", "impossible de", "dépasse", "ne permettent pas", "ne me permet pas",
+    "nicht helfen", "nicht umschreiben", "nicht bearbeiten", "nicht erfüllen", "nicht überarbeiten", "kann nicht", "darf nicht", "kann ich nicht", "darf ich nicht", "ablehnen", "ablehne", "lehne", "nicht in der lage", "nicht möglich", "nicht erlaubt", "nicht gestattet", "verweigern",
+    "no puedo", "no podemos", "no me está permitido", "no está permitido", "no estoy autorizado", "no estoy autorizada", "no soy capaz", "rechazar", "declinar", "no es posible", "no me es posible", "imposible", "no se me permite",
 )
+TASKS = (
+    "rewrite", "rewriting", "rewritten", "restyle", "restyling", "restyled", "rephrase", "rephrasing", "paraphrase", "request", "passage", "this text", "that text", "the text", "your text", "excerpt", "this material", "this content", "this piece", "this one", "this version",
+    "transformation", "this task", "that task", "instruction", "instructions", "assist", "help with", "helping with", "help you", "comply", "fulfil", "fulfill", "carry out", "guidelines", "policy", "policies", "permitted to do", "allowed to do", "language system", "language model", "an ai", "do that", "do this", "process this", "reproduce", "generate",
+    "réécrire", "reformuler", "passage", "ce texte", "le texte", "cette demande", "votre demande", "requête", "traiter", "vous aider", "autorisé à", "consignes", "cette tâche",
+    "anfrage", "umschreiben", "abschnitt", "textstelle", "diesen text", "diesem text", "dabei helfen", "nicht helfen", "bearbeiten", "überarbeiten", "aufgabe", "richtlinien", "anliegen",
+    "reescribir", "reformular", "este texto", "el texto", "pasaje", "solicitud", "petición", "ayudarle", "ayudarte", "ayudar con", "atender", "este fragmento", "esta tarea", "normas",
+)
+# Cues that need no other.
+REFUSALS = ("must decline", "have to decline", "i decline", "i refuse to", "je dois refuser", "je dois décliner", "muss ich ablehnen", "ich muss ablehnen", "muss ich leider ablehnen", "debo rechazar", "debo declinar", "tengo que rechazar")
+#: Words between which the two cues of a refusal stand at most.
+REFUSAL_REACH = 9
 
 
-def _automaton(phrases: Iterable[str]) -> ahocorasick.Automaton:
+def _automaton(cues: dict[str, Iterable[str]]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for p in phrases:
-        found.add_word(f" {p} ", p)
+    for kind, phrases in cues.items():
+        for p in dict.fromkeys(phrases):
+            if not found.exists(f" {p} "):  # the first kind holds
+                found.add_word(f" {p} ", (kind, p))
     found.make_automaton()
     return found
 
@@ -67,12 +81,20 @@ def _automaton(phrases: Iterable[str]) -> ahocorasick.Automaton:
 _REFUSAL_AUTOMATON: ahocorasick.Automaton | None = None
 
 
-def refusals_in(found: list[str]) -> set[str]:
-    """The refusing phrases among an answer's words."""
+def refusals_in(found: list[str]) -> set[tuple[str, str]]:
+    """The refusing cues among an answer's words: (what denies, what it denies) that stand close together."""
     global _REFUSAL_AUTOMATON
     if _REFUSAL_AUTOMATON is None:
-        _REFUSAL_AUTOMATON = _automaton(REFUSALS)
-    return {p for _, p in _REFUSAL_AUTOMATON.iter(f" {' '.join(found)} ")}
+        _REFUSAL_AUTOMATON = _automaton({"denial": DENIALS, "task": TASKS, "both": REFUSALS})
+    text = f" {' '.join(found)} "
+    hits: dict[str, list[tuple[int, str]]] = {"denial": [], "task": [], "both": []}
+    for end, (kind, cue) in _REFUSAL_AUTOMATON.iter(text):
+        hits[kind].append((end, cue))
+    whole = {(cue, cue) for _, cue in hits["both"]}
+    if not hits["denial"] or not hits["task"]:
+        return whole
+    word = list(accumulate(c == " " for c in text))  # how many words begin up to a character
+    return whole | {(d, t) for i, d in hits["denial"] for j, t in hits["task"] if abs(word[i] - word[j]) <= REFUSAL_REACH}
 
 
 class SuffixAutomaton:
@@ -150,30 +172,42 @@ def agreement(passage: list[str], answer: list[str]) -> int:
     return v ^ full
 
 
-def unclosed(text: str) -> list[str]:
-    """A delimiter stack over brackets, fences and JSON strings: what is still open at the end."""
+_DELIMITERS = re.compile(r"```|~~~|[\"()\[\]{}\u201c\u201d\u00ab\u00bb\\]")
+_CLOSES = {")": "(", "]": "[", "}": "{", "\u201d": "\u201c", "\u00bb": "\u00ab"}
+
+
+def unclosed(text: str, strings: bool = True) -> list[str]:
+    """A delimiter stack over code fences, brackets and quotes: what is still open at the end. ``strings``:
+    straight quotes count too, within them only their end does, and what a backslash stands before is skipped (JSON)."""
     stack: list[str] = []
-    close = {")": "(", "]": "[", "}": "{"}
-    inside = skip = False
-    for ch in text:
-        if skip:
-            skip = False
-        elif inside:
-            if ch == "\\":
-                skip = True
-            elif ch == '"':
-                inside = False
+    skip = -1
+    for m in _DELIMITERS.finditer(text):
+        d = m.group()
+        top = stack[-1] if stack else ""
+        if m.start() == skip or (d in '\\"' and not strings):
+            continue
+        if d == "\\":
+            if top == '"':
+                skip = m.end()
+        elif top == '"':
+            if d == '"':
                 stack.pop()
-        elif ch == '"':
-            inside = True
-            stack.append(ch)
-        elif ch in "([{":
-            stack.append(ch)
-        elif ch in close and stack and stack[-1] == close[ch]:
+        elif d in _CLOSES:
+            if top == _CLOSES[d]:
+                stack.pop()
+        elif d == top and d in ("```", "~~~"):
             stack.pop()
+        else:
+            stack.append(d)
     return stack
 
 
+def left_open(passage: str | None, answer: str) -> bool:
+    """Whether an answer ends inside a fence, bracket or paired quote and its passage doesn't. Straight quotes
+    tell nothing, as a passage may begin within speech."""
+    mine = unclosed(answer, strings=False)
+    return bool(mine) and len(mine) > len(unclosed(passage or "", strings=False))
+
 
 def breaks_off(passage: list[str], answer: list[str], bits: int) -> bool:
     """Whether an answer taken from the passage stops before it has covered its end.
@@ -245,7 +279,9 @@ def judged(passage: str | None, answer: str | None) -> tuple[str | None, list[st
     if share < ALIGNED:
         # a few words that agree little may still begin a rewrite
         return ("truncated" if m < FEW and m < 0.85 * n - 1 and share >= FEW_ALIGNED else None), []
-    return ("truncated", []) if breaks_off(a, b, bits) else (None, a[bits.bit_length() :])
+    end = a[bits.bit_length() :]
+    # last words of style may all have changed; but not where what was put round the answer, or a bracket in it, is still open
+    return ("truncated", []) if breaks_off(a, b, bits) or (end and left_open(passage, answer)) else (None, end)
 
 
 def defect_of(passage: str | None, answer: str | None) -> str | None:

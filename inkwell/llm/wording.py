@@ -61,10 +61,10 @@ _LEAD_WORDS = re.compile(
     r"voici|bien sûr|hier ist|gerne|aquí|claro)\b",
     re.I,
 )
-_LEAD_LINE = re.compile(r"\A\s*([^\n]{1,90}?[:\uff1a])[ \t]*(?:\n|\Z)")
+_LEAD_LINE = re.compile(r"\A\s*([^\n]+?[:\uff1a])[ \t]*(?:\n|\Z)")
 _INSTRUCTION = re.compile(r"\b(?:profile|passage|restyle[ds]?|recast|manner|rewrite|style)\b", re.I)
 _MARKER = re.compile(r"(?:\A|\n)[ \t]*(?:passage[ \t]*:?|text[ \t]*:|-{3,}|={3,})[ \t]*\n", re.I)
-_REMINDER = re.compile(r"\n\s*\n[ \t]*(return|give|answer|reply|respond|output|provide)\b[^\n]{0,120}\Z", re.I)
+_REMINDER = re.compile(r"\n\s*\n[ \t]*(return|give|answer|reply|respond|output|provide)\b[^\n]*\Z", re.I)
 
 
 def unwrap(text: str | None) -> str:
@@ -98,7 +98,7 @@ def strip_instruction(answer: str) -> str:
     """An answer without an instruction that it repeats before its passage and a
     reminder that it repeats after it."""
     m = _MARKER.search(answer)
-    if m and m.start() < 600 and _INSTRUCTION.search(answer[: m.start()] or ""):
+    if m and _INSTRUCTION.search(answer[: m.start()]):
         answer = answer[m.end() :]
     return _REMINDER.sub("", answer).strip()
 

@@ -53,6 +53,54 @@ def test_a_passage_that_speaks_of_refusing_is_no_refusal():
     assert pr.defect_of(passage, passage.replace("the ", "that ").replace("of ", "out of ")) is None
 
 
+REFUSING = """I'm afraid rewriting this passage is not something I'm willing to attempt.
+This request goes against my guidelines, so I won't be rephrasing it.
+I cannot process this excerpt in good conscience.
+It would be impossible for me to restyle these lines as the instructions demand.
+Sorry, I'd prefer not to paraphrase that.
+We are not in a position to fulfil this.
+Our policy means I am not able to reproduce the text.
+I refuse to rewrite this.
+I'll have to pass on this one, friend.
+Such a transformation lies outside of what I can offer.
+Unfortunately the content policy prohibits rewriting of this kind.
+I could not in fairness carry out what you ask.
+This version would not comply with the rules I follow.
+I am declining this task.
+Je regrette, mais il m'est impossible de reformuler ces lignes.
+Je ne saurais traiter cette demande.
+Mes consignes ne me permettent pas de réécrire ceci.
+Diese Aufgabe kann ich nicht übernehmen.
+Leider ist es mir nicht möglich, diesen Text zu bearbeiten.
+Ich lehne diese Anfrage ab.
+Lo siento, pero no es posible atender esta petición.
+No soy capaz de reformular este pasaje.
+Mis normas me lo impiden: no puedo reescribir nada de esto.""".splitlines()
+
+NOT_REFUSING = """The tower would not fall, and the old king could not sleep before the dawn.
+He cannot help his sorrow, nor will she not forgive him for the winter.
+No man refuses bread when the harbour is frozen and the ferry lies beyond what the eye can see.
+I can't help laughing, said the miller, for the fool will not sit down.
+Il ne peut pas dormir et la maison est vide depuis que le roi est parti.
+Er kann nicht schlafen, denn der Mond steht über dem Garten und die Burg ist leer.
+No puedo dormir, dijo el rey, porque la luna está sobre el jardín.""".splitlines()
+
+
+def test_refusals_in_words_that_no_list_has_whole():
+    missed = [x for x in REFUSING if pr.defect_of(PASSAGE, x) != "refusal"]
+    assert len(missed) <= 2, missed  # 21 of 23
+    assert [x for x in NOT_REFUSING if pr.defect_of(PASSAGE, x) == "refusal"] == []
+
+
+def test_the_delimiter_stack_tells_a_cut_answer_from_one_with_other_last_words():
+    ended = PASSAGE.removesuffix(" the") + " those"
+    whole = SOUND.removesuffix(" that") + " yonder"
+    if pr.defect_of(ended, whole) is None:
+        assert pr.defect_of(ended, f"```text\n{whole}\n```") is None and pr.defect_of(ended, f"```text\n{whole}") == "truncated"
+        assert pr.defect_of(ended, whole.replace("some thunder", "(some thunder")) == "truncated" and pr.defect_of(ended.replace("some thunder", "(some thunder"), whole.replace("some thunder", "(some thunder")) is None
+    assert pr.defect_of(ended, whole) is None
+
+
 def test_null_and_blank_passages():
     assert pr.defect_of(None, "some answer") is None and pr.defect_of(" ", "I must decline this.") == "refusal" and pr.defect_of(None, None) == "empty"
 
