@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
+import os
 import sys
 
 from . import __version__, config
@@ -16,7 +18,7 @@ def _parser() -> argparse.ArgumentParser:
     c = sub.add_parser("config")
     c.add_argument("action", choices=("show", "validate"))
     v = sub.add_parser("corpus")
-    v.add_argument("action", choices=("fetch", "verify"))
+    v.add_argument("action", choices=("fetch", "manifest", "verify"))
     k = sub.add_parser("cache")
     k.add_argument("action", choices=("stats", "verify"))
     r = sub.add_parser("run")
@@ -24,6 +26,7 @@ def _parser() -> argparse.ArgumentParser:
     m = sub.add_parser("compare")
     m.add_argument("-m", "--model", action="append", required=True)
     m.add_argument("--yes", action="store_true")
+    m.add_argument("--chunks", type=int, default=20, help="chunks of the shared sample")
     for s in (c, v, k, r, m):
         s.add_argument("--config")
         s.add_argument("--preset", choices=sorted(config.PRESETS))
@@ -48,36 +51,50 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "config":
         print(json.dumps(settings, indent=2) if a.action == "show" else f"valid, {config.identity(settings)[:8]}")
         return 0
+    from datetime import UTC, datetime
+
+    from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from .operators import collection, ledger
+    from .functions import lexicon as lx
+    from .operators import collection, ledger, reports, scoring
     from .plans import pipeline
     from .session import local_session, ship_package
-    from .sources import artifacts, declarations, http, texts
+    from .sources import artifacts, declarations, http, ledger_log, texts
 
-    spark = local_session()
+    # under spark-submit the session is the cluster's; by itself the command makes a local one
+    spark = SparkSession.getActiveSession() or (SparkSession.builder.getOrCreate() if "PYSPARK_GATEWAY_PORT" in os.environ else local_session())
     ship_package(spark)
+    cache_dir = settings["llm"]["cache_dir"]
     if a.command == "cache":
-        cache = spark.read.parquet(settings["llm"]["cache_dir"])
-        row = ledger.cache_problems(cache).first().asDict()
+        row = ledger.cache_problems(ledger.read_cache(spark, cache_dir)).first().asDict()
         print(json.dumps(row))
         return int(a.action == "verify" and row["n_empty"] + row["n_bad_hash"] > 0)
-    declared = declarations.read_declarations(spark, settings["corpus"]["sources"])
+    corpus_settings = settings["corpus"]
+    declared = declarations.read_declarations(spark, corpus_settings["sources"])
     if a.command == "corpus" and a.action == "fetch":
-        numbers = declared.select(F.explode("gutenberg_ids").alias("number"))
-        http.fetched(numbers).write.mode("overwrite").parquet(a.out or "data/_raw")
+        numbers = declared.select(F.explode("gutenberg_ids").alias("number")).distinct()
+        folder = a.out or "data/_raw"
+        known = texts.read_raw_cache(spark, folder)
+        http.fetched(texts.missing_numbers(numbers, known)).write.mode("append").parquet(folder)
+        return 0
+    found = texts.read_texts(spark, corpus_settings["dir"])
+    if a.command == "corpus" and a.action == "manifest":
+        words = {"count": len(lx.FUNCTION_WORDS), "sha256": hashlib.sha256("\n".join(lx.FUNCTION_WORDS).encode()).hexdigest()}
+        print(artifacts.write_manifest(a.out or corpus_settings["manifest"], collection.manifest(found), collection.totals(found), {"function_words": words, "speaker_prefixes": "kept", "stage_directions": "kept"}))
         return 0
-    found = texts.read_texts(spark, settings["corpus"]["dir"])
+    own = collection.declarations(declared).where("set_name = 'texts'").select(F.col("id").alias("creation_id"))
     if a.command == "corpus":
-        recorded = spark.read.json(settings["corpus"]["manifest"], multiLine=True)
-        findings = collection.reconciled(declared, recorded, collection.manifest(found))
-        findings.show(1000, truncate=False)
+        recorded = artifacts.read_manifest(spark, corpus_settings["manifest"])
+        of_texts = found.join(own, "creation_id", "left_semi")
+        findings = collection.reconciled(declared, recorded, collection.manifest(found)).unionByName(collection.collection_findings(of_texts, corpus_settings["expected_count"], collection.declarations(declared).where("set_name = 'texts'")))
+        for r in findings.orderBy("severity", "finding", "id").toLocalIterator():  # all of them, a partition at a time
+            print(f"{r['severity']}\t{r['finding']}\t{r['id']}")
         return int(not findings.where("severity = 'failure'").isEmpty())
-    own = collection.declarations(declared).where("set_name = 'texts'").select(F.col("id").alias("creation_id"))
-    only, never = settings["corpus"]["include_ids"], settings["corpus"]["exclude_ids"]
+    only, never = corpus_settings["include_ids"], corpus_settings["exclude_ids"]
     if only is not None:
         named = spark.createDataFrame([(x,) for x in only], "creation_id string")
-        unknown = [r[0] for r in collection.unknown_ids(named, own).collect()]
+        unknown = [r[0] for r in collection.unknown_ids(named, own).collect()]  # at most as many as the settings name
         if unknown:
             print(f"unknown ids: {', '.join(unknown)}", file=sys.stderr)
             return 2
@@ -86,22 +103,35 @@ def main(argv: list[str] | None = None) -> int:
         own = own.where(~F.col("creation_id").isin(*never))
     corpus = found.join(own, "creation_id", "left_semi")
     pool = texts.read_texts(spark, settings["noise"]["pool_dir"])
+    identity = config.identity(settings)
     if a.command == "compare":
         n = len(a.model)
-        print(f"{n} models, 20 chunks each: {20 * n} calls")
+        print(f"{n} models, {a.chunks} chunks each: at most {a.chunks * n} calls")
         if a.yes:
-            pipeline.compare(corpus, a.model, settings).groupBy("model").agg(F.count(F.lit(1)), F.avg("delta")).show()
+            from .session import checkpointed
+
+            rows = checkpointed(pipeline.compare(corpus, a.model, settings, a.chunks, cache_dir if all(pipeline.provider_named(x).call for x in a.model if x in pipeline.PROVIDERS) else None))
+            summary = pipeline.comparison_summary(rows)
+            folder = a.out or f"{settings['run']['out_dir']}/compare-{artifacts.run_id(settings, identity)}"
+            print(artifacts.write_comparison(folder, rows, summary, reports.passages_side_by_side(rows), {"seed": settings["run"]["seed"], "n_chunks": a.chunks}))
+            summary.show(n, truncate=False)
         return 0
     pipeline.plan(corpus, pool, settings).show(truncate=False)
     if a.dry_run:
         return 0
-    identity = config.identity(settings)
-    folder = a.out or f"{settings['run']['out_dir']}/{artifacts.run_id(settings, identity)}"
-    r = pipeline.run(corpus, pool, settings)
-    from .operators import reports, scoring
-
+    started = datetime.now(UTC)
+    name = artifacts.run_id(settings, identity, started)
+    folder = artifacts.open_run(spark, a.out or f"{settings['run']['out_dir']}/{name}")
+    log = f"{folder}/calls"
+    r = pipeline.run(corpus, pool, settings, cache_dir, log=log, run_id=name)
     table = reports.scores_table(scoring.scores_pivot(r.run_scores, settings["run"]["M"]), r.scores, r.labels, declared.select(F.col("id").alias("creation_id"), "title"))
-    artifacts.write_run(folder, chunks=r.chunks, rewrites=r.rewrites, deltas=reports.deltas_table(r.deltas), scores=table, threshold=r.threshold, labels=r.labels, noise=reports.noise_diagnostics(r.run_scores, r.noise, r.threshold), profiles=r.profiles, manifest={"identity": identity, "settings": settings})
+    lines = ledger.ledger_summary(spark.read.schema(ledger_log.LEDGER_SCHEMA).json(log).where(F.col("run_id") == name))
+    tau = artifacts.threshold_record(r.threshold, r.labels, settings["classify"]["method"], r.diagnostics, r.cross_check)
+    counts = {**reports.run_counts(r.scores, r.rewrites).first().asDict(), "n_creations": r.scores.count(), "n_chunks": r.chunks.count()}
+    artifacts.write_run(
+        folder, chunks=r.chunks, rewrites=r.rewrites, deltas=reports.deltas_table(r.deltas), scores=table, threshold=tau, labels=r.labels, noise=reports.noise_diagnostics(r.run_scores, r.noise, r.threshold), profiles=r.profiles,
+        partial_profiles=r.partial_profiles, packing=r.packing, score_lines=reports.markdown_rows(table), manifest=artifacts.run_record(settings, identity, name, started, counts, lines, tau),
+    )
     print(folder)
     return 0
 

@@ -20,15 +20,42 @@ FUNCTION_WORDS: tuple[str, ...] = tuple(sorted(w for g in FUNCTION_WORD_GROUPS.v
 MIN_FUNCTION_WORDS, MAX_FUNCTION_WORDS = 110, 130
 
 # Modern forms and the early forms that the offline rewriter puts for them.
-SUBSTITUTIONS = dict(
-    p.split("/")
-    for p in (
-        "you/thou your/thy yours/thine are/art have/hast has/hath do/dost does/doth did/didst shall/shalt will/wilt can/canst would/wouldst should/shouldst could/couldst were/wert "
-        "upon/on unto/to among/amongst while/whilst"
-    ).split()
-)
+SUBSTITUTIONS = {
+    "you": "thou",
+    "your": "thy",
+    "yours": "thine",
+    "are": "art",
+    "have": "hast",
+    "has": "hath",
+    "do": "dost",
+    "does": "doth",
+    "did": "didst",
+    "shall": "shalt",
+    "will": "wilt",
+    "can": "canst",
+    "would": "wouldst",
+    "should": "shouldst",
+    "could": "couldst",
+    "were": "wert",
+    "upon": "on",
+    "unto": "to",
+    "among": "amongst",
+    "while": "whilst",
+}
 MIN_RATE, MAX_RATE = 0.05, 0.45
 
+# How a line of talk before an answer begins, where it ends in a colon.
+LEAD_INS = ("here is", "here's", "here 's", "sure", "certainly", "rewritten", "rewrite", "below is")
+
+# Headings of a cast list, of a text's body, of a list of contents, and of a later hand's note.
+CAST_HEADINGS = (
+    "dramatis personae", "dramatis personæ", "dramatis personas", "persons represented", "the persons represented", "the persons of the play", "characters in the play",
+    "actor name", "actor's name", "actors' name", "the actor name", "the actor's name", "the actors' name", "the names of the actors",
+)
+BODY_HEADINGS = ("act i", "act 1", "act the first", "prologue", "scene i", "scene 1", "induction")
+CONTENTS_HEADINGS = ("contents",)
+NOTE_HEADINGS = ("transcriber note", "transcriber's note", "transcribers' note", "editor note", "editor's note", "editors' note", "producer note", "producer's note", "producers' note")
+
 # What a refusal contains, in lower case.
 REFUSAL_MARKERS = ("i cannot", "i can't", "i'm sorry", "i am sorry", "as an ai", "i'm unable", "i am unable", "i won't", "i will not")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.lexicon import CHUNK_WORDS
 from ..session import spread
+from .ordered import with_previous
 
 
 def chunked(df: DataFrame, id_col: str, text_col: str = "text", size: int = CHUNK_WORDS) -> DataFrame:
@@ -33,11 +34,10 @@ def chunk_counts(df: DataFrame, id_col: str, text_col: str = "text", size: int =
 
 def tiling(chunks: DataFrame) -> DataFrame:
     """Every distinct chunk that doesn't start where the chunk before it ends, or whose range
-    and text disagree. The window sorts within a creation and can spill; a row holds numbers
-    only, as the text is measured first."""
+    and text disagree. A creation of any number of chunks is looked at by many tasks; a row holds
+    numbers only, as the text is measured first."""
     rows = chunks.select("creation_id", "chunk_index", "word_start", "word_end", tx.n_words(F.col("text")).alias("words")).distinct()
-    w = Window.partitionBy("creation_id").orderBy("chunk_index", "word_start")
-    rows = rows.withColumn("before_end", F.lag(F.col("word_start") + F.col("words")).over(w))
+    rows = with_previous(rows.withColumn("_end", F.col("word_start") + F.col("words")), ("chunk_index", "word_start", "word_end", "words"), {"before_end": "_end"}, ("creation_id",))
     gap = F.coalesce(F.col("before_end") != F.col("word_start"), F.lit(False))
     bad_range = F.coalesce(F.col("word_end") - F.col("word_start") != F.col("words"), F.lit(True))
     return rows.select("creation_id", "chunk_index", gap.alias("gap"), bad_range.alias("bad_range")).where("gap OR bad_range")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import ingest
 
 SETS = ("texts", "noise_pool", "heldout", "mixture_sources")
 
@@ -61,6 +62,22 @@ def manifest(texts: DataFrame, id_col: str = "creation_id", text_col: str = "tex
     return texts.select(F.col(id_col).alias("id"), F.sha2(c, 256).alias("sha256"), tx.n_words(c).alias("n_words"), F.length(c).cast("bigint").alias("n_chars"))
 
 
+def collection_findings(texts: DataFrame, expected_count: int | None, expected_words: DataFrame | None = None, tolerance: float = 0.15, text_col: str = "text") -> DataFrame:
+    """id ('*'), finding, severity for the collection as a whole and for texts that still hold what should have
+    been stripped: another number of texts than expected, a total outside the band round the sum of the expected
+    words, boilerplate left in a text (id is the text's)."""
+    left = texts.where(ingest.has_residue(F.col(text_col))).select(F.col("creation_id").alias("id"), F.lit("boilerplate").alias("finding"), F.lit("failure").alias("severity"))
+    t = totals(texts, text_col)
+    if expected_words is not None:
+        t = t.crossJoin(F.broadcast(expected_words.agg(F.sum("expected_words").alias("_expected"))))  # one row
+    else:
+        t = t.withColumn("_expected", F.lit(None).cast("bigint"))
+    count = F.lit(False) if expected_count is None else F.col("n_texts") != expected_count
+    off = F.coalesce(F.abs(F.coalesce("n_words", F.lit(0)) - F.col("_expected")) > F.col("_expected") * tolerance, F.lit(False))
+    whole = F.filter(F.array(F.when(count, F.struct(F.lit("text_count").alias("finding"), F.lit("failure").alias("severity"))), F.when(off, F.struct(F.lit("total_outside_band").alias("finding"), F.lit("warning").alias("severity")))), lambda x: x.isNotNull())
+    return left.unionByName(t.select(F.lit("*").alias("id"), F.explode(whole).alias("x")).select("id", "x.finding", "x.severity"))
+
+
 def reconciled(declared: DataFrame, recorded: DataFrame, found: DataFrame, tolerance: float = 0.15) -> DataFrame:
     """id, finding, severity. declared: id, expected_words; recorded and found: id, sha256, n_words
     (the manifest and what is there). One row a finding; warnings don't fail a collection."""

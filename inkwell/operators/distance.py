@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,14 +89,16 @@ def edit_operations(a: str, b: str) -> list[tuple[str, int, str | None, str | No
     """The edits that turn an encoded sequence into another: (op, at, from, to), in order.
     Among equally short scripts: matches first, then replacements, deletions, insertions."""
     n, m = len(a), len(b)
-    # left[i][j]: edits between what is left of both sequences from i and j on
-    left = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n, -1, -1):
-        for j in range(m, -1, -1):
-            if i == n or j == m:
-                left[i][j] = n - i + m - j
-            else:
-                left[i][j] = min(left[i + 1][j + 1] + (a[i] != b[j]), left[i + 1][j] + 1, left[i][j + 1] + 1)
+    # left[i][j]: edits between what is left of both sequences from i and j on; a row at a time, an
+    # insertion's cost being a running minimum along the row
+    left = np.empty((n + 1, m + 1), np.int32)
+    at = np.arange(m + 1, dtype=np.int32)
+    left[n] = m - at
+    codes = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    for i in range(n - 1, -1, -1):
+        row = left[i + 1] + 1
+        row[:m] = np.minimum(row[:m], left[i + 1, 1:] + (codes != ord(a[i])))
+        left[i] = np.minimum.accumulate((row + at)[::-1])[::-1] - at
     word = lambda ch: FUNCTION_WORDS[ord(ch) - 1]
     out, i, j = [], 0, 0
     while i < n or j < m:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import with_position
+
 
 def paired_test(a: DataFrame, b: DataFrame, keys: tuple[str, ...], value: str = "delta") -> DataFrame:
     """One row: pairs, mean difference, its deviation, t statistic, effect size."""
@@ -63,9 +65,9 @@ def spliced(hosts: DataFrame, passages: DataFrame, id_col: str = "creation_id")
 
 def splice_recall(deltas: DataFrame, foreign: DataFrame) -> DataFrame:
     """creation_id, n_foreign, n_found: how many of a creation's foreign chunks are among as many of
-    its chunks of highest delta. foreign: creation_id, chunk_index. Windows hold numbers only."""
+    its chunks of highest delta. foreign: creation_id, chunk_index. Ranks are made by range partitions."""
     f = foreign.select("creation_id", "chunk_index").distinct().withColumn("is_foreign", F.lit(1))
     d = deltas.where("status = 'ok'").groupBy("creation_id", "chunk_index").agg(F.avg("delta").alias("delta")).join(f, ["creation_id", "chunk_index"], "left").na.fill({"is_foreign": 0})
-    w = Window.partitionBy("creation_id")
-    ranked = d.withColumn("rank", F.row_number().over(w.orderBy(F.desc("delta"), "chunk_index"))).withColumn("n_foreign", F.sum("is_foreign").over(w))
+    n = d.groupBy("creation_id").agg(F.sum("is_foreign").alias("n_foreign"))
+    ranked = with_position(d.withColumn("_down", -F.col("delta")), F.col("_down"), F.col("chunk_index"), by=("creation_id",)).withColumnRenamed("pos", "rank").join(n, "creation_id")
     return ranked.where("n_foreign > 0").groupBy("creation_id").agg(F.max("n_foreign").alias("n_foreign"), F.count_if((F.col("rank") <= F.col("n_foreign")) & (F.col("is_foreign") == 1)).alias("n_found"))

@@ -12,6 +12,26 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 
+def with_previous(df: DataFrame, order: tuple[str, ...], cols: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``cols`` (new name: column) of the row before in the given order, within ``by``; null for the
+    first. Rows of a group of any size lie in many range partitions; what crosses between
+    partitions is the last row of each. The order must be total for the result to be defined."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in (*by, *order)]
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    kept = checkpointed(ranged).withColumn("_part", F.shiftrightunsigned("_at", 33))
+    w = Window.partitionBy("_part", *by).orderBy("_at")
+    out = kept.withColumns({**{f"_l_{k}": F.lag(F.struct(F.col(c).alias("v"))).over(w) for k, c in cols.items()}})
+    last = kept.groupBy("_part", *by).agg(F.max_by(F.struct(*[F.col(c).alias(k) for k, c in cols.items()]), "_at").alias("_last"))
+    # a row a partition and group: the last row of the nearest partition before that holds the group
+    before = last.withColumn("_prev", F.last("_last", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", *by, "_prev")
+    same = out["_part"] == before["_part"]
+    for c in by:
+        same = same & out[c].eqNullSafe(before[c])
+    joined = out.join(before, same, "left")
+    return joined.select(*[out[c] for c in df.columns], *[F.when(F.col(f"_l_{k}").isNotNull(), F.col(f"_l_{k}.v")).otherwise(F.col(f"_prev.{k}")).alias(k) for k in cols])
+
+
 def with_position(df: DataFrame, *order, sums: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``pos`` (1, 2, ... in the given order) and ``sum_<c>`` (the running sum,
     this row included) for every column of ``sums``; within ``by`` where it is given.

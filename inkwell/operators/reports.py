@@ -110,6 +110,16 @@ def side_by_side(rewrites: DataFrame) -> DataFrame:
     return rows.groupBy("creation_id", "chunk_index").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("x.run_index").alias("r"), F.col("x.rewrite_id").alias("i"), one.alias("s")))), lambda e: e["s"]), " ").alias("attempts"))
 
 
+def passages_side_by_side(rows: DataFrame) -> DataFrame:
+    """A Markdown text for each sampled chunk of a comparison: its passage, then every model's version of it
+    with its delta and verdict. One row a chunk, so as many versions as there are models."""
+    verdict = F.when(F.col("status") == "ok", "ok").otherwise(F.concat(F.lit("rejected: "), F.coalesce("reason", F.lit("unknown"))))
+    part = F.concat(F.lit("## "), F.col("model"), F.lit(", delta "), F.format_string("%.4f", F.coalesce("delta", F.lit(0.0))), F.lit(", "), verdict, F.lit("\n\n"), F.coalesce("rewrite", F.lit("(no text)")), F.lit("\n"))
+    own = rows.select("creation_id", "chunk_index", "original", F.struct("model", part.alias("part")).alias("x"))
+    text = F.concat(F.lit("# "), F.col("creation_id"), F.lit(" "), F.col("chunk_index").cast("string"), F.lit("\n\n"), F.first("original"), F.lit("\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda e: e["part"]), "\n"))
+    return own.groupBy("creation_id", "chunk_index").agg(text.alias("value")).select("value")
+
+
 def dry_run_plan(creations: DataFrame, noise: DataFrame, n_runs: int, bins: int, size: int = CHUNK_WORDS, tokens_per_word: float = 1.35) -> DataFrame:
     """One row: the calls and input tokens a run would take. creations and noise: creation_id,
     n_words (noise: of each run's text). ``bins``: profile calls of a run before the merge."""

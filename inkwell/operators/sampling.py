@@ -41,8 +41,9 @@ def round_robin_sample(chunks: DataFrame, size: int, seed: int = 0) -> DataFrame
     is full are cut early, so the grid stays near ``size`` rows for any number of creations.
     """
     once = chunks.select("creation_id", "chunk_index").distinct()
-    w = Window.partitionBy("creation_id").orderBy("chunk_index")
-    numbered = once.withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("creation_id")))
+    # positions by range partitions, counts by partial sums: a creation may hold any share of the chunks
+    placed = with_position(once.where("creation_id IS NOT NULL"), F.col("chunk_index"), by=("creation_id",))
+    numbered = placed.withColumn("k", F.col("pos") - 1).join(once.groupBy("creation_id").agg(F.count(F.lit(1)).alias("n")), "creation_id")
     # chunk k of n is visited in round (k - seed) mod n, the first time
     visits = numbered.withColumn("round", F.pmod(F.col("k") - F.lit(seed), F.col("n"))).where(F.col("round") < size)
     return visits.orderBy("round", "creation_id").limit(size).select("creation_id", "chunk_index", "round")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,11 @@ from ..session import spread
 from .distance import measured, with_encodings
 
 
-def chunk_deltas(rewrites: DataFrame, distance: str = "fwed") -> DataFrame:
+def chunk_deltas(rewrites: DataFrame, distance: str = "fwed", rules: Mapping | None = None) -> DataFrame:
     """run_index, creation_id, chunk_index, status, reason, delta, n_words, degenerate of every
     rewrite. A failed rewrite keeps delta 0.0 and is never averaged. Texts end here: only the
     encoded sequences reach the distance."""
-    src = spread(rewrites.select("run_index", "creation_id", "chunk_index", "status", "reason", "original", F.when(F.col("status") == "ok", F.col("rewrite")).alias("rewrite"))).select("run_index", "creation_id", "chunk_index", "status", "reason", tx.n_words(F.col("original")).alias("n_words"), "original", tx.cleaned(F.col("rewrite")).alias("_r"))
+    src = spread(rewrites.select("run_index", "creation_id", "chunk_index", "status", "reason", "original", F.when(F.col("status") == "ok", F.col("rewrite")).alias("rewrite"))).select("run_index", "creation_id", "chunk_index", "status", "reason", tx.n_words(F.col("original")).alias("n_words"), "original", tx.cleaned(F.col("rewrite"), (rules or {}).get("strip_code_fences", True), (rules or {}).get("strip_preamble", True)).alias("_r"))
     out = measured(with_encodings(src, "original", "_r"), distance)
     ok = F.col("status") == "ok"
     return out.select("run_index", "creation_id", "chunk_index", "status", "reason", F.when(ok, F.col("delta")).otherwise(0.0).alias("delta"), "n_words", (ok & F.col("degenerate")).alias("degenerate"))
@@ -33,7 +35,7 @@ def run_scores(deltas: DataFrame) -> DataFrame:
     return out.withColumn("failed_fraction", F.coalesce(F.expr("n_failed / nullif(n_total, 0)"), F.lit(0.0)))
 
 
-def creation_scores(runs: DataFrame) -> DataFrame:
+def creation_scores(runs: DataFrame, max_failed: float = MAX_FAILED_FRACTION) -> DataFrame:
     """Scores over runs: mean and sample deviation of the runs that were scored (no deviation
     for one), and whether a score is to be trusted."""
     out = runs.groupBy("creation_id").agg(
@@ -41,7 +43,7 @@ def creation_scores(runs: DataFrame) -> DataFrame:
         F.avg("length_weighted_mean").alias("length_weighted_score"), F.max(F.struct(-F.col("run_index"), "n_total"))["n_total"].alias("n_chunks"),
         F.array_sort(F.collect_list(F.struct("run_index", "mean_delta"))).alias("per_run"),
     )
-    few, many = F.col("n_runs_scored") < F.col("n_runs"), F.col("worst_failed") > MAX_FAILED_FRACTION
+    few, many = F.col("n_runs_scored") < F.col("n_runs"), F.col("worst_failed") > max_failed
     none = F.col("n_runs_scored") == 0
     reason = F.when(none, "no chunk was scored in any run").otherwise(F.concat_ws("; ", F.when(few, F.concat(F.col("n_runs_scored").cast("string"), F.lit(" of "), F.col("n_runs").cast("string"), F.lit(" runs scored"))), F.when(many, F.lit("too many chunks failed"))))
     return out.withColumn("unreliable", none | few | many).withColumn("unreliable_reason", reason)

@@ -13,6 +13,12 @@ from ..functions.lexicon import AGREEMENT_TOLERANCE, BORDERLINE_BAND, MIN_GAP_RA
 from .ordered import with_position
 
 
+#: Variances that differ by less than this share are equal.
+TIE = 1e-10
+#: Gaps between means of less than this share of the largest score are rounding.
+NOISE = 1e-12
+
+
 def scorable(scores: DataFrame) -> DataFrame:
     return scores.where("score IS NOT NULL").select("creation_id", F.col("score").cast("double").alias("score"))
 
@@ -33,7 +39,10 @@ def otsu_exact(scores: DataFrame) -> DataFrame:
     """One row: n, k, tau, variance, lower, upper, gap, total_variance, separability. The first
     of equal maxima wins. Fewer than two scores stop the job."""
     s = scorable(scores).agg(F.count(F.lit(1)).alias("n"), F.var_pop("score").alias("total_variance"), F.stddev_pop("score").alias("spread"))
-    best = otsu_candidates(scores).orderBy(F.desc(F.round("variance", 15)), "k").limit(1)
+    splits = otsu_candidates(scores)
+    # equal but for the noise of sums, whatever the spread of the scores
+    most = splits.agg(F.max("variance").alias("_most"), F.pow(F.max(F.abs("upper")) * NOISE, 2).alias("_noise"))
+    best = splits.crossJoin(F.broadcast(most)).where(F.col("variance") >= F.col("_most") * (1 - TIE) - F.col("_noise")).orderBy("k").limit(1)
     out = s.crossJoin(best.groupBy().agg(*[F.first(c).alias(c) for c in ("k", "lower", "upper", "variance")]))
     out = out.withColumn("tau", F.when(F.col("n") < 2, F.raise_error(F.lit("a threshold needs at least two scores"))).otherwise((F.col("lower") + F.col("upper")) / 2))
     out = out.withColumn("gap", F.col("upper") - F.col("lower")).withColumn("separability", F.when(F.col("total_variance") > 0, F.col("variance") / F.col("total_variance")).otherwise(0.0))
@@ -42,7 +51,7 @@ def otsu_exact(scores: DataFrame) -> DataFrame:
 
 def otsu_binned(scores: DataFrame, bins: int = 256) -> DataFrame:
     """One row: tau, the centre of the last of ``bins`` equal bins below the best split. Sums run
-    over bins, of which there are ``bins``."""
+    over bins, of which there are ``bins``. Scores that are all equal stop the job."""
     from pyspark.sql import Window
 
     s = scorable(scores)
@@ -56,7 +65,8 @@ def otsu_binned(scores: DataFrame, bins: int = 256) -> DataFrame:
     grid = grid.withColumns({"w1": F.sum("n").over(up), "m1": F.sum(F.col("n") * F.col("centre")).over(up), "w2": F.sum("n").over(down), "m2": F.sum(F.col("n") * F.col("centre")).over(down)})
     gap = F.col("m1") / F.col("w1") - F.col("m2") / F.col("w2")
     between = grid.where("w1 > 0 AND w2 > 0").withColumn("between", F.col("w1") * F.col("w2") * gap * gap)
-    return between.orderBy(F.desc(F.round("between", 9)), "bin").limit(1).select(F.col("centre").alias("tau"))
+    best = between.agg(F.max_by("centre", F.struct(F.round("between", 9), -F.col("bin"))).alias("tau"))
+    return best.select(F.coalesce("tau", F.raise_error(F.lit("equal scores have no threshold")).cast("double")).alias("tau"))
 
 
 def mixture(values: np.ndarray, seed: int = 0, starts: int = 5, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,15 +133,15 @@ def threshold(scores: DataFrame, method: str = "otsu_exact", tau: float | None =
     return METHODS[method](scores)
 
 
-def diagnostics(scores: DataFrame) -> DataFrame:
+def diagnostics(scores: DataFrame, min_separability: float = MIN_SEPARABILITY, min_gap_ratio: float = MIN_GAP_RATIO) -> DataFrame:
     """One row: how far the exact split can be trusted, and flags in words."""
     o = otsu_exact(scores)
-    low, narrow = F.col("separability") < MIN_SEPARABILITY, F.col("gap_ratio") < MIN_GAP_RATIO
+    low, narrow = F.col("separability") < min_separability, F.col("gap_ratio") < min_gap_ratio
     flags = F.array_compact(F.array(F.when(low, F.lit("low separability")), F.when(narrow, F.lit("narrow gap"))))
     return o.select("n", "k", "tau", "separability", "gap_ratio", (~low & ~narrow).alias("bimodal"), F.array_join(flags, "; ").alias("flags"))
 
 
-def cross_check(scores: DataFrame) -> DataFrame:
+def cross_check(scores: DataFrame, tolerance: float = AGREEMENT_TOLERANCE) -> DataFrame:
     """One row: whether the binned threshold lies in the gap of the exact split, and whether both
     part the scores alike."""
     o = otsu_exact(scores).select("tau", "lower", "upper")
@@ -139,7 +149,7 @@ def cross_check(scores: DataFrame) -> DataFrame:
     outside = F.greatest(F.col("lower") - F.col("binned_tau"), F.col("binned_tau") - F.col("upper"), F.lit(0.0))
     s = scorable(scores).crossJoin(F.broadcast(both))
     differ = F.count_if((F.col("score") > F.col("tau")) != (F.col("score") > F.col("binned_tau")))
-    return s.groupBy("tau", "binned_tau", outside.alias("outside_gap")).agg(differ.alias("n_differ")).withColumn("same_gap", F.col("outside_gap") <= AGREEMENT_TOLERANCE).withColumn("same_partition", F.col("n_differ") == 0)
+    return s.groupBy("tau", "binned_tau", outside.alias("outside_gap")).agg(differ.alias("n_differ")).withColumn("same_gap", F.col("outside_gap") <= tolerance).withColumn("same_partition", F.col("n_differ") == 0)
 
 
 def classified(scores: DataFrame, tau: DataFrame, band: float = BORDERLINE_BAND) -> DataFrame:

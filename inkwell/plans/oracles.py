@@ -5,7 +5,8 @@ from __future__ import annotations
 from ..functions import lexicon as lx
 from ..functions import sql as sq
 from ..operators import ingest
-from .queries import N_RUNS
+from ..operators.ledger import KEY_FIELDS
+from .queries import BUDGET, N_RUNS, PLAN_BUDGET
 
 lit = sq.lit
 _SPELT = "regexp_replace(lower(trim(set_name)), '[ _-]+', '_', 'g')"
@@ -112,7 +113,6 @@ ORACLES: dict[str, str] = {
     "fw_freq_cosine": f"""WITH {_ENC}, v AS (SELECT rewrite_id, a, b, {_counts('a')} AS x, {_counts('b')} AS y FROM enc) SELECT rewrite_id, round(CASE WHEN a = '' AND b = '' THEN 0.0::DOUBLE WHEN a = '' OR b = '' THEN 1.0 ELSE greatest(0.0, 1 - list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y))) END, 6) AS delta FROM v""",
     "fw_freq_manhattan": f"""WITH {_ENC}, v AS (SELECT rewrite_id, a, b, {_counts('a')} AS x, {_counts('b')} AS y FROM enc) SELECT rewrite_id, round(CASE WHEN a = '' AND b = '' THEN 0.0::DOUBLE WHEN a = '' OR b = '' THEN 1.0 ELSE list_sum(list_transform(list_zip(x, y), lambda p: abs(p[1] / length(a) - p[2] / length(b)))) / 2 END, 6) AS delta FROM v""",
     "token_estimates": f"WITH {_SIZES} SELECT * FROM sizes",
-    "profile_plan": f"WITH {_SIZES}, t AS (SELECT sum(tokens)::BIGINT AS tokens, max(tokens) AS largest FROM sizes) SELECT provider, model_id, floor(context_window * {lx.CONTEXT_FRACTION}::DOUBLE)::BIGINT AS budget, ceil(tokens / floor(context_window * {lx.CONTEXT_FRACTION}::DOUBLE))::BIGINT AS least_calls, largest <= floor(context_window * {lx.CONTEXT_FRACTION}::DOUBLE) AS fits FROM model_catalogue, t",
     "noise_assignment": f"WITH {_NOISE} SELECT run_index, creation_id FROM noise",
     "run_corpora": f"WITH {_NOISE} SELECT r::BIGINT AS run_index, creation_id, false AS is_noise FROM (SELECT unnest(range(1, {N_RUNS + 1})) AS r), (SELECT DISTINCT creation_id FROM chunks) UNION ALL SELECT run_index, creation_id, true FROM noise",
     "roundrobin_sample": """WITH o AS (SELECT DISTINCT creation_id, chunk_index FROM chunks), k AS (SELECT *, row_number() OVER (PARTITION BY creation_id ORDER BY chunk_index) - 1 AS k, count(*) OVER (PARTITION BY creation_id) AS n FROM o),
@@ -195,13 +195,46 @@ ORACLES |= {
         FROM (SELECT * FROM calls WHERE tag <> 'profile') GROUP BY provider, model_id""".replace("median(latency_ms)::INT::BIGINT", "floor(median(latency_ms))::BIGINT"),
     "delta_by_run": f"WITH {_DELTAS} SELECT run_index, count(*) AS n_chunks, count(*) FILTER (status = 'ok') AS n_ok, round(coalesce(avg(delta) FILTER (status = 'ok'), 0), 6) AS mean_delta, round(coalesce(stddev_samp(delta) FILTER (status = 'ok'), 0), 6) AS sd_delta FROM deltas GROUP BY run_index",
     "side_by_side": "SELECT creation_id, chunk_index::BIGINT AS chunk_index, count(*) AS n, string_agg(run_index || ':' || status, ' ' ORDER BY run_index, rewrite_id) AS attempts FROM rewrites GROUP BY ALL",
-    "comparison_plan": "SELECT provider, model_id, (SELECT count(*) FROM (SELECT DISTINCT creation_id, chunk_index FROM chunks)) + 1 AS n_calls FROM model_catalogue",
-    "dry_run_plan": f"""WITH {_NOISE}, {_SIZES}, {_REPAIRED}, c AS (SELECT creation_id, sum(n_words) AS n FROM rep GROUP BY creation_id),
-        a AS (SELECT count(*) AS n_creations, sum(ceil(n / 400.0::DOUBLE))::BIGINT AS n_chunks, sum(floor(n * 1.35::DOUBLE))::BIGINT AS tokens FROM c), b AS (SELECT coalesce(sum(ceil(n_words / 400.0::DOUBLE)), 0)::BIGINT AS nc, coalesce(sum(floor(n_words * 1.35::DOUBLE)), 0)::BIGINT AS nt FROM noise JOIN sizes USING (creation_id))
-        SELECT n_creations, n_chunks, {N_RUNS}::BIGINT AS n_runs, {N_RUNS * 3}::BIGINT AS profile_calls, n_chunks * {N_RUNS} + nc AS rewrite_calls, tokens * 2 * {N_RUNS} + nt * 2 AS input_tokens FROM a, b""",
     "ledger_throughput": "SELECT strftime(date_trunc('hour', strptime(substr(ts_utc, 1, 19), '%Y-%m-%dT%H:%M:%S')), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_calls, count(*) FILTER (status = 'failed') AS n_failed, sum(output_tokens)::BIGINT AS output_tokens FROM calls GROUP BY 1",
     "event_throughput": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "render_prompts": "SELECT DISTINCT creation_id, chunk_index::BIGINT AS chunk_index, sha256('Style profile of the target:' || chr(10) || "
     + lit("\n".join(f"{label}: {k} as it stands" for k, label in lx.PROFILE_LABELS.items()))
     + " || chr(10) || chr(10) || 'Restate the passage below in exactly this style. Keep its meaning and its content words; change only its style.' || chr(10) || chr(10) || 'Passage to rewrite:' || chr(10) || text || CASE WHEN chunk_index % 2 = 1 THEN chr(10) || 'Important: return only the rewritten passage, whole.' ELSE '' END) AS prompt_sha FROM chunks",
 }
+
+
+def _first_fit(items: str, budgets: str) -> str:
+    """Common tables that pack items (id, tokens), largest first, within each budget of a table (budget), item by
+    item into the first bin with room: ff (budget, i, bin, room), the last row of a budget holding its bins."""
+    return f"""it AS (SELECT id, tokens, row_number() OVER (ORDER BY tokens DESC, id) AS i FROM {items}), bu AS (SELECT DISTINCT budget FROM {budgets}),
+      ff AS (SELECT budget, 0::BIGINT AS i, NULL::VARCHAR AS id, NULL::BIGINT AS tokens, NULL::BIGINT AS bin, []::BIGINT[] AS room FROM bu UNION ALL
+        SELECT budget, ni, nid, nt, CASE WHEN p > 0 THEN p - 1 ELSE len(room) END, CASE WHEN p > 0 THEN list_transform(room, lambda r, k: CASE WHEN k = p THEN r - nt ELSE r END) ELSE list_append(room, budget - nt) END
+        FROM (SELECT ff.budget, ff.room, it.i AS ni, it.id AS nid, it.tokens AS nt, coalesce(list_position(list_transform(ff.room, lambda r: r >= it.tokens), true), 0)::BIGINT AS p FROM ff JOIN it ON it.i = ff.i + 1)),
+      needed AS (SELECT budget, CASE WHEN coalesce((SELECT max(tokens) FROM it), 0) <= budget THEN max(len(room)) END AS n_bins FROM ff GROUP BY budget)"""
+
+
+_BUDGETS = f"m AS (SELECT provider, model_id, floor(context_window * {lx.CONTEXT_FRACTION}::DOUBLE)::BIGINT AS budget FROM model_catalogue)"
+_SIZED = f"{_SIZES}, items AS (SELECT creation_id AS id, tokens FROM sizes)"
+_OWN_BUDGET = f"one AS (SELECT {BUDGET}::BIGINT AS budget)"
+
+ORACLES |= {
+    "profile_plan": f"WITH RECURSIVE {_SIZED}, {_BUDGETS}, {_first_fit('items', 'm')} SELECT provider, model_id, budget, n_bins, n_bins + (n_bins > 1)::INT AS n_calls, n_bins IS NOT NULL AS fits FROM m JOIN needed USING (budget)",
+    "comparison_plan": f"""WITH RECURSIVE {_SIZED}, {_BUDGETS}, {_first_fit('items', 'm')}, c AS (SELECT count(*) AS n FROM (SELECT DISTINCT creation_id, chunk_index FROM chunks))
+        SELECT provider, model_id, n_bins + (n_bins > 1)::INT AS profile_calls, n + n_bins + (n_bins > 1)::INT AS n_calls FROM m JOIN needed USING (budget), c""",
+    "ffd_bins": f"WITH RECURSIVE {_SIZED}, {_OWN_BUDGET}, {_first_fit('items', 'one')} SELECT id AS creation_id, tokens, bin AS bin_index FROM ff WHERE i > 0",
+    "bin_summary": f"WITH RECURSIVE {_SIZED}, {_OWN_BUDGET}, {_first_fit('items', 'one')} SELECT bin AS bin_index, count(*) AS n_creations, sum(tokens)::BIGINT AS tokens FROM ff WHERE i > 0 GROUP BY bin",
+    "dry_run_plan": f"""WITH RECURSIVE {_NOISE}, {_SIZES}, {_REPAIRED}, c AS (SELECT creation_id, sum(n_words) AS n FROM rep GROUP BY creation_id), items AS (SELECT creation_id AS id, floor(n * {lx.TOKENS_PER_WORD}::DOUBLE)::BIGINT AS tokens FROM c),
+        one AS (SELECT greatest({PLAN_BUDGET}, (SELECT max(tokens) FROM items))::BIGINT AS budget), {_first_fit('items', 'one')},
+        a AS (SELECT count(*) AS n_creations, sum(ceil(n / 400.0::DOUBLE))::BIGINT AS n_chunks, sum(floor(n * 1.35::DOUBLE))::BIGINT AS tokens FROM c),
+        b AS (SELECT coalesce(sum(ceil(coalesce(n_words, 0) / 400.0::DOUBLE)), 0)::BIGINT AS nc, coalesce(sum(floor(coalesce(n_words, 0) * 1.35::DOUBLE)), 0)::BIGINT AS nt FROM noise LEFT JOIN sizes USING (creation_id))
+        SELECT n_creations, n_chunks, {N_RUNS}::BIGINT AS n_runs, ({N_RUNS} * (n_bins + (n_bins > 1)::INT))::BIGINT AS profile_calls, n_chunks * {N_RUNS} + nc AS rewrite_calls, tokens * 2 * {N_RUNS} + nt * 2 AS input_tokens FROM a, b, needed""",
+    "request_key_json": "SELECT call_id, sha256(to_json({" + ", ".join(f"'{f}': {f}" for f in KEY_FIELDS) + "})) AS key FROM calls",
+    "resume_calls": f"""WITH {_CACHE}, k AS (SELECT DISTINCT run_id, cache_key FROM calls)
+        SELECT run_id, count(*) AS asked, count(*) FILTER (cache_key IN (SELECT cache_key FROM cache)) AS answered, count(*) FILTER (cache_key NOT IN (SELECT cache_key FROM cache)) AS "left" FROM k GROUP BY run_id""",
+    "ledger_scan": "SELECT run_id, cache_key, tag, attempt::BIGINT AS attempt, cached, ts_utc, round(temperature, 6) AS temperature, sha256(response) AS response_sha FROM calls",
+    "retry_rounds": f"""WITH k AS (SELECT DISTINCT creation_id, chunk_index::BIGINT AS chunk_index, text, creation_id || ':' || chunk_index AS key FROM chunks), u AS (SELECT *, {lx.MIN_RATE}::DOUBLE + {_uniform('key', "'-1'")} * ({lx.MAX_RATE}::DOUBLE - {lx.MIN_RATE}::DOUBLE) AS rate FROM k),
+        w AS (SELECT creation_id, chunk_index, text AS original, coalesce({_FAKE}, '') AS rewrite FROM u), sets AS (SELECT *, {sq.content_words('original')} AS x, {sq.content_words('c')} AS y, {sq.n_words('original')} AS n, {sq.n_words('c')} AS m FROM (SELECT *, {sq.cleaned('rewrite')} AS c FROM w)),
+        v AS (SELECT creation_id, chunk_index, c, CASE WHEN n > 0 THEN m::DOUBLE / n ELSE 0 END AS ratio, {_RETENTION} AS ret FROM sets),
+        r AS (SELECT creation_id, chunk_index, CASE WHEN c = '' THEN 'empty' WHEN {sq.refuses('c')} THEN 'refusal' WHEN ratio < {lx.MIN_LENGTH_RATIO} THEN 'too_short' WHEN ratio > {lx.MAX_LENGTH_RATIO} THEN 'too_long' WHEN ret < {lx.MIN_CONTENT_RETENTION} THEN 'content_lost' END AS reason FROM v)
+        SELECT creation_id, chunk_index, CASE WHEN reason IS NOT NULL THEN 3 WHEN chunk_index % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS attempts, reason IS NULL AS ok, reason FROM r""",
+}

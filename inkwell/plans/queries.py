@@ -16,6 +16,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import chunking, collection, distance, experiments, ingest, ledger, packing, reports, rewriting, sampling, scoring, thresholds
 from ..session import checkpointed, spread
+from ..sources import ledger_log
 
 N_RUNS = 3
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,7 +154,7 @@ def normalize_docs(t):
 
 @query
 def composite_docs(t):
-    parts = ingest.normalized(t.documents.where("creation_id IS NOT NULL").select("doc_id", "creation_id", "text"), exact=False)
+    parts = ingest.normalized(t.documents.where("creation_id IS NOT NULL").select("doc_id", "creation_id", "text"))
     return ingest.merged_reports(parts)
 
 
@@ -207,7 +208,8 @@ def tokenize_docs(t):
 
 @query
 def exact_tokens(t):
-    return t.documents.select("doc_id", F.size(tx.exact_tokens(F.col("text"))).alias("n_tokens"))
+    k = t.documents.select("doc_id", tx.exact_tokens(F.col("text")).alias("k"))
+    return k.select("doc_id", F.size("k").alias("n_tokens"), F.sha2(F.array_join("k", " "), 256).alias("tokens_sha"))
 
 
 @query
@@ -258,6 +260,7 @@ def _sizes(t):
 
 
 BUDGET = packing.context_budget(200_000)
+PLAN_BUDGET = packing.context_budget(1_000_000)
 
 
 @query
@@ -275,12 +278,15 @@ def bin_summary(t):
     return packing.bin_summary(packing.packed_bins(_sizes(t), BUDGET))
 
 
+def _budgets(t):
+    return t.model_catalogue.withColumn("budget", F.floor(F.col("context_window") * lx.CONTEXT_FRACTION).cast("bigint"))
+
+
 @query
 def profile_plan(t):
-    """Calls by model: bins that the model's own window makes of the collection."""
-    tokens = _sizes(t).agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"))
-    m = t.model_catalogue.withColumn("budget", F.floor(F.col("context_window") * lx.CONTEXT_FRACTION))
-    return m.crossJoin(F.broadcast(tokens)).select("provider", "model_id", "budget", F.ceil(F.col("tokens") / F.col("budget")).alias("least_calls"), (F.col("largest") <= F.col("budget")).alias("fits"))
+    """Calls by model: the bins into which first fit packs the collection within the model's own window, and
+    one call more that merges them; none where a creation is larger than the window's budget."""
+    return packing.calls_by_budget(_sizes(t), _budgets(t)).select("provider", "model_id", "budget", "n_bins", "n_calls", "fits")
 
 
 def _pool(t):
@@ -644,9 +650,28 @@ def longest_prefix_match(t):
 
 @query
 def run_jobs(t):
+    """The call layer over all chunks, without a cache: equal requests are called once, and results come in the
+    order of their requests."""
     req = t.chunks.dropDuplicates(["creation_id", "chunk_index"]).select("creation_id", "chunk_index", F.col("text").alias("prompt"))
-    out = ledger.run_calls(req, lambda r: rewriting.seeded_rewrite_text(r["prompt"], r["prompt"]))
-    return out.select("creation_id", "chunk_index", "status", F.sha2("response", 256).alias("response_sha"))
+    fields = {"max_output_tokens": F.lit(2048), "model_id": F.lit("offline-seeded"), "prompt_schema_version": F.lit(1), "provider": F.lit("fake"), "response_format": F.lit("text"), "system": F.lit(None).cast("string"), "temperature": F.lit(0.0), "tag": F.lit("rewrite")}
+    out = ledger.answered(req.withColumns(fields), lambda r: rewriting.seeded_rewrite_text(r["prompt"], r["prompt"]), ("creation_id", "chunk_index"), per_minute=1e12, tokens_per_minute=1e15)
+    return out.select("creation_id", "chunk_index", "status", "cached", F.sha2("response", 256).alias("response_sha")).orderBy("creation_id", "chunk_index")
+
+
+@query
+def resume_calls(t):
+    """What each run asked, what the cache answers of it, and what a resumed run still has to call."""
+    return ledger.remaining(t.calls, ledger.cache_table(t.calls))
+
+
+@query
+def ledger_scan(t):
+    """The ledger written as JSON lines with a torn tail, and read again."""
+    fields = [f.split()[0] for f in ledger_log.LEDGER_SCHEMA.split(", ")]
+    whole = t.calls.select(F.to_json(F.struct(*fields)).alias("value"), F.lit("calls").alias("_file"), F.col("call_id").alias("_n"))
+    torn = t.calls.agg(F.lit('{"schema_version": 1, "ts').alias("value"), F.lit("calls").alias("_file"), (F.max("call_id") + 1).alias("_n"))
+    read = ledger_log.parsed_lines(whole.unionByName(torn))
+    return read.select("run_id", "cache_key", "tag", "attempt", "cached", "ts_utc", "temperature", F.sha2("response", 256).alias("response_sha"))
 
 
 @query
@@ -666,15 +691,20 @@ def side_by_side(t):
 
 @query
 def comparison_plan(t):
-    n = t.chunks.select("creation_id", "chunk_index").distinct().agg(F.count(F.lit(1)).alias("n_chunks"))
-    return t.model_catalogue.crossJoin(F.broadcast(n)).select("provider", "model_id", (F.col("n_chunks") + 1).alias("n_calls"))
+    """Calls of a comparison by model: every chunk once, and the profile's calls within the model's window."""
+    n = t.chunks.select("creation_id", "chunk_index").distinct().agg(F.count(F.lit(1)).alias("n_chunks"))  # one row
+    plan = packing.calls_by_budget(_sizes(t), _budgets(t)).crossJoin(F.broadcast(n))
+    return plan.select("provider", "model_id", F.col("n_calls").alias("profile_calls"), (F.col("n_chunks") + F.col("n_calls")).alias("n_calls"))
 
 
 @query
 def dry_run_plan(t):
     creations = chunking.repaired(t.chunks).groupBy("creation_id").agg(F.sum("n_words").alias("n_words"))
-    noise = _noise(t).join(_sizes(t).select("creation_id", "n_words"), "creation_id")
-    return reports.dry_run_plan(creations, noise, N_RUNS, 2)
+    # noise texts of which no size is declared count as empty, they aren't left out
+    noise = _noise(t).join(_sizes(t).select("creation_id", "n_words"), "creation_id", "left").na.fill({"n_words": 0})
+    own = checkpointed(creations.withColumn("tokens", packing.estimated_tokens(F.col("n_words"))))
+    counted = [(r["tokens"], r["count"]) for r in own.groupBy("tokens").count().collect()]  # at most a row a size
+    return reports.dry_run_plan(own, noise, N_RUNS, packing.bins_needed(packing.first_fit(counted, max([PLAN_BUDGET, *(s for s, _ in counted)]))))
 
 
 @query

@@ -15,7 +15,13 @@ LEDGER_SCHEMA = (
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The lines of one ledger file. A torn last line (a run that was killed) is dropped; a bad line
     before the last stops the job. Only numbers and offsets of lines are compared to tell which is last."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_n")).where(F.trim("value") != "")
+    return parsed_lines(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_n")))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """The ledger's lines from value (the text of a line), _file and _n (its place in the file). A torn last
+    line of a file is dropped, blank lines too; a bad line before the last stops the job."""
+    raw = lines.where(F.trim("value") != "")
     parsed = raw.withColumn("r", F.from_json("value", f"{LEDGER_SCHEMA}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     last = raw.groupBy("_file").agg(F.max("_n").alias("_last"))
     rows = parsed.join(F.broadcast(last), "_file")  # a row a file

@@ -17,3 +17,17 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 def missing_texts(declared: DataFrame, found: DataFrame) -> DataFrame:
     """Declared ids of which there is no text: what is still to be fetched."""
     return declared.select(F.col("id").alias("creation_id")).distinct().join(found.select("creation_id"), "creation_id", "left_anti")
+
+
+def read_raw_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """number, text, error of what was fetched before; no rows where the folder isn't there yet."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    kind = "number int, text string, error string"
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(folder)
+
+
+def missing_numbers(numbers: DataFrame, known: DataFrame) -> DataFrame:
+    """Numbers of which no text was fetched yet; a failure is tried again."""
+    return numbers.select("number").distinct().join(known.where("text IS NOT NULL").select("number"), "number", "left_anti")

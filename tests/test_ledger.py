@@ -145,13 +145,15 @@ def test_settings(tmp_path):
         config.build(preset=preset)
 
 
-def test_runs_are_written_once(tmp_path):
-    p = artifacts.open_run(tmp_path / "r")
-    (p / "run.json").write_text("{}")
-    artifacts.open_run(p)  # broken off: resumed
-    (p / "run.json").write_text('{"ended": "x"}')
+def test_runs_are_written_once(spark, tmp_path):
+    p = artifacts.open_run(spark, str(tmp_path / "r"))
+    assert not artifacts.is_complete(spark, p) and artifacts.read_text(spark, f"{p}/run.json") is None
+    artifacts.write_json(spark, f"{p}/run.json", {"ended_utc": None})
+    assert artifacts.open_run(spark, p) == p  # broken off
+    artifacts.write_json(spark, f"{p}/run.json", {"ended_utc": "é"})
+    assert artifacts.read_text(spark, f"{p}/run.json").count("é") == 1
     with pytest.raises(FileExistsError):
-        artifacts.open_run(p)
+        artifacts.open_run(spark, p)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -163,3 +165,100 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(str(r.window_start)[:10], r.n_calls, r.n_failed) for r in spark.table("seen").collect()}
     want = {(str(r.window_start)[:10], r.n_calls, r.n_failed) for r in ledger.call_timeline(spark.read.schema(ledger_log.LEDGER_SCHEMA).json(str(src)), "1 day").collect()}
     assert got == want and len(got) == 3
+
+
+def _counting(folder, most=None):
+    def call(request):
+        made = list(folder.iterdir())
+        if most is not None and len(made) >= most:
+            raise ledger.PermanentError("the power went out")
+        (folder / f"{request['prompt']}-{len(made)}").write_text("x")
+        return request["prompt"].upper()
+
+    return call
+
+
+def _requests(spark, n, **over):
+    base = {"max_output_tokens": 5, "model_id": "m", "prompt_schema_version": 1, "provider": "x", "response_format": "text", "system": None, "temperature": 0.0, "tag": "rewrite", **over}
+    schema = "n int, prompt string, max_output_tokens int, model_id string, prompt_schema_version int, provider string, response_format string, system string, temperature double, tag string"
+    return spark.createDataFrame([(i, f"p{i}", *(base[f.split()[0]] for f in schema.split(", ")[2:])) for i in range(n)], schema)
+
+
+def test_a_broken_run_is_gone_on_with(spark, tmp_path):
+    calls = tmp_path / "made"
+    calls.mkdir()
+    cache, log, req = str(tmp_path / "cache"), str(tmp_path / "log"), _requests(spark, 40)
+    own = dict(cache=cache, log=log, concurrency=1, per_minute=1e6, tokens_per_minute=1e9)
+    first = ledger.answered(req, _counting(calls, 17), ("n",), run_id="1", **own)
+    assert first.where("status = 'ok'").count() == 17 and first.where("error_class = 'PermanentError'").count() == 23 and len(list(calls.iterdir())) == 17
+    again = ledger.answered(req, _counting(calls), ("n",), run_id="2", **own)
+    assert {(r.n, r.response) for r in again.collect()} == {(i, f"P{i}") for i in range(40)} and len(list(calls.iterdir())) == 40 and again.where("cached").count() == 17
+    ledger.answered(req, _counting(calls), ("n",), run_id="3", **own)
+    assert len(list(calls.iterdir())) == 40
+    lines = ledger_log.read_ledger(spark, log).groupBy("run_id", "status", "cached").count()
+    assert {tuple(r) for r in lines.collect()} == {("1", "ok", False, 17), ("1", "failed", False, 23), ("2", "ok", True, 17), ("2", "ok", False, 23), ("3", "ok", True, 40)}
+    assert {tuple(r) for r in ledger.remaining(ledger_log.read_ledger(spark, log), ledger.read_cache(spark, cache)).collect()} == {(k, 40, 40, 0) for k in "123"}
+
+
+def test_modes_and_waves(spark, tmp_path):
+    calls = tmp_path / "made"
+    calls.mkdir()
+    cache, req = str(tmp_path / "cache"), _requests(spark, 6)
+    twice = req.unionByName(req.withColumn("n", F.col("n") + 100))  # equal requests are called once
+    own = dict(cache=cache, concurrency=1, per_minute=1e6, tokens_per_minute=1e9)
+    got = ledger.answered(twice, _counting(calls), ("n",), wave=2, **own)
+    assert got.count() == 12 and got.where("cached").count() == 6 and len(list(calls.iterdir())) == 6
+    other = ledger.answered(_requests(spark, 6, model_id="other"), _counting(calls), ("n",), **own)
+    assert other.count() == 6 and len(list(calls.iterdir())) == 12  # another model's answers are its own
+    ledger.answered(req, _counting(calls), ("n",), mode="refresh", **own).count()
+    assert len(list(calls.iterdir())) == 18 and ledger.read_cache(spark, cache).count() == 12
+    lost = ledger.answered(_requests(spark, 7), _counting(calls), ("n",), mode="replay", **own)
+    assert [(r.n, r.error_class) for r in lost.where("status = 'failed'").collect()] == [(6, "CacheMissError")] and len(list(calls.iterdir())) == 18
+    assert ledger.answered(req.limit(0), _counting(calls), ("n",), **own).count() == 0
+
+
+def test_slow_answers_and_token_rates(spark, tmp_path):
+    def slow(request):
+        import time
+
+        time.sleep(5)
+
+    got = ledger.run_calls(_requests(spark, 1), slow, 1, retries=0, timeout=0.2).first()
+    assert (got.status, got.error_class) == ("failed", "TransientError")
+    assert ledger.run_calls(_requests(spark, 3, max_output_tokens=10), lambda r: "x", 1, tokens_per_minute=600.0).where("status = 'ok'").count() == 3
+
+
+def test_prompts_fill_all_places_and_no_others(spark):
+    from inkwell.operators import prompts
+
+    assert prompts.places("rewrite") == ["profile", "passage"] and set(prompts.VERSIONS) == set(prompts.TEMPLATES)
+    df = spark.createDataFrame([("{x}", "a {profile} b")], "p string, t string")
+    assert df.select(prompts.render("rewrite", profile=F.col("p"), passage=F.col("t"))).first()[0].endswith("rewrite:\na {profile} b")
+    for bad in ({"profile": F.lit("")}, {"profile": F.lit(""), "passage": F.lit(""), "more": F.lit("")}):
+        with pytest.raises(prompts.TemplateError):
+            prompts.render("rewrite", **bad)
+    with pytest.raises(prompts.TemplateError):
+        prompts.render("unheard of")
+
+
+def test_manifests(spark, tmp_path):
+    from inkwell.operators import collection
+
+    found = spark.createDataFrame([("a", "one two three"), ("b", "x y\nProject Gutenberg"), ("c", "")], "creation_id string, text string")
+    with pytest.raises(FileNotFoundError):
+        artifacts.read_manifest(spark, str(tmp_path / "m"))
+    artifacts.write_manifest(str(tmp_path / "m"), collection.manifest(found), collection.totals(found), {"function_words": {"count": 127}})
+    assert {r.id: r.n_words for r in artifacts.read_manifest(spark, str(tmp_path / "m")).collect()} == {"a": 3, "b": 4, "c": 0}
+    m = json.loads((tmp_path / "m" / "manifest.json").read_text())
+    assert m["totals"]["n_texts"] == 3 and m["totals"]["n_words"] == 7 and m["function_words"]["count"] == 127
+    expected = spark.createDataFrame([(100,), (None,)], "expected_words int")
+    assert {tuple(r) for r in collection.collection_findings(found, 49, expected).collect()} == {("b", "boilerplate", "failure"), ("*", "text_count", "failure"), ("*", "total_outside_band", "warning")}
+    assert [tuple(r) for r in collection.collection_findings(found, 3).collect()] == [("b", "boilerplate", "failure")]
+
+
+def test_fetching_asks_only_for_what_is_not_there(spark, tmp_path):
+    numbers = spark.createDataFrame([(1,), (2,), (3,), (3,)], "number int")
+    folder = str(tmp_path / "raw")
+    assert texts.missing_numbers(numbers, texts.read_raw_cache(spark, folder)).count() == 3
+    spark.createDataFrame([(1, "t", None), (2, None, "down")], "number int, text string, error string").write.parquet(folder)
+    assert sorted(r[0] for r in texts.missing_numbers(numbers, texts.read_raw_cache(spark, folder)).collect()) == [2, 3]

@@ -2,9 +2,12 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from inkwell import config
+from inkwell.operators import ledger, reports
 from inkwell.plans import pipeline
-from inkwell.sources import artifacts
+from inkwell.sources import artifacts, ledger_log
 
 PLAIN = "the king of the castle and his brother were riding over the hill because you would not do what we could do upon the road while they have your sword "
 
@@ -52,9 +55,20 @@ def test_runs_repeat(spark, done):
 
 def test_artifacts(done, tmp_path):
     r, _, settings = done
-    p = artifacts.write_run(tmp_path / "run", chunks=r.chunks, rewrites=r.rewrites, deltas=r.deltas.drop("is_noise"), scores=r.scores.drop("per_run"), threshold=r.threshold, labels=r.labels, noise=r.noise, profiles=r.profiles, manifest={"settings": settings})
-    assert artifacts.is_complete(p) and json.loads((p / "threshold.json").read_text())["tau"] > 0
-    assert len(list((p / "chunks").glob("creation_id=*"))) == 7  # six creations and a noise text
+    spark, folder = r.chunks.sparkSession, tmp_path / "run"
+    tau = artifacts.threshold_record(r.threshold, r.labels, "otsu_exact", r.diagnostics, r.cross_check)
+    record = artifacts.run_record(settings, "abc", "r1", artifacts.datetime.now(artifacts.UTC), {"n_scored": 6}, None, tau)
+    written = dict(chunks=r.chunks, rewrites=r.rewrites, deltas=r.deltas.drop("is_noise"), scores=r.scores.drop("per_run"), threshold=tau, labels=r.labels, noise=r.noise, profiles=r.profiles, partial_profiles=r.partial_profiles, packing=r.packing, manifest=record)
+    assert not artifacts.is_complete(spark, str(folder))
+    p = artifacts.write_run(str(folder), **written)
+    assert artifacts.is_complete(spark, p)
+    with pytest.raises(FileExistsError):
+        artifacts.write_run(p, **written)
+    t = json.loads((folder / "threshold.json").read_text())
+    assert t["tau"] > 0 and t["n_suspicious"] + t["n_authentic"] == 6 and isinstance(t["flags"], list)
+    m = json.loads((folder / "run.json").read_text())
+    assert m["counts"] == {"n_scored": 6} and m["threshold"]["tau"] == t["tau"] and m["ended_utc"]
+    assert spark.read.json(f"{p}/chunks").count() == r.chunks.count() and spark.read.json(f"{p}/profiles/packing").count() == spark.read.json(f"{p}/profiles/partial").count()
 
 
 def test_compare(spark):
@@ -63,6 +77,82 @@ def test_compare(spark):
     assert {(r.model, n) for r, n in ((r, got.where(f"model = '{r.model}'").count()) for r in got.select("model").distinct().collect())} == {("fake", 8), ("fake_sql", 8)}
     with pytest.raises(ValueError):
         pipeline.register_provider("fake", pipeline.PROVIDERS["fake"])
+    s = {r.model: r for r in pipeline.comparison_summary(got).collect()}
+    assert s["fake"].n_chunks == 8 and s["fake"].n_ok == 8 and s["fake"].mean_delta > 0 and s["fake"].n_cleaned == 0
+
+
+def _broken(request):
+    raise pipeline.ledger.PermanentError("no such model")
+
+
+def test_one_bad_candidate_does_not_stop_the_others(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(pipeline.PROVIDERS, "broken", pipeline.Provider(_broken))
+    texts, _ = corpus(spark)
+    got = pipeline.compare(texts, ["broken", "unheard of", "fake"], config.build(sets=["chunking.P=40", "llm.concurrency=1"]), size=4).cache()
+    assert {(r.model, r.n_ok, r.n_chunks) for r in pipeline.comparison_summary(got).collect()} == {("broken", 0, 4), ("unheard of", 0, 4), ("fake", 4, 4)}
+    folder = artifacts.write_comparison(str(tmp_path / "c"), got, pipeline.comparison_summary(got), reports.passages_side_by_side(got), {"seed": 1})
+    assert [m["model"] for m in json.loads((tmp_path / "c" / "summary.json").read_text())["models"]] == ["broken", "fake", "unheard of"]
+    assert "| fake | 4 |" in (tmp_path / "c" / "summary.md").read_text() and spark.read.option("header", True).csv(f"{folder}/comparison").count() == 12
+    page = spark.read.text(f"{folder}/rewrites", wholetext=True).first().value
+    assert page.startswith("# c") and "## broken, delta" in page and "## fake, delta" in page
+
+
+def _lines(spark, log):
+    return spark.read.schema(ledger_log.LEDGER_SCHEMA).json(log)
+
+
+def test_a_run_writes_its_cache_and_lines_and_the_next_one_calls_nothing(spark, tmp_path):
+    texts, pool = corpus(spark)
+    settings = config.build(preset="mini", sets=["chunking.P=40", "run.M=1"])
+    cache, log = str(tmp_path / "cache"), str(tmp_path / "calls")
+    plain = pipeline.run(texts, pool, settings)
+    r = pipeline.run(texts, pool, settings, cache, log=log, run_id="a")
+    assert sorted(map(tuple, r.labels.collect())) == sorted(map(tuple, plain.labels.collect()))
+    own = _lines(spark, log)
+    assert ledger.ledger_problems(own.withColumn("call_id", F.monotonically_increasing_id())).count() == 0
+    n = r.rewrites.count() + r.partial_profiles.count()
+    assert own.count() == n and own.where("NOT cached").count() == own.select("cache_key").distinct().count() == ledger.read_cache(spark, cache).count()
+    pipeline.run(texts, pool, settings, cache, log=log, run_id="b")
+    assert _lines(spark, log).where("run_id = 'b' AND NOT cached").count() == 0 and _lines(spark, log).where("run_id = 'b'").count() == n
+    replay = config.build(preset="mini", sets=["chunking.P=40", "run.M=1", "llm.mode=replay"])
+    assert sorted(map(tuple, pipeline.run(texts, pool, replay, cache).labels.collect())) == sorted(map(tuple, plain.labels.collect()))
+    with pytest.raises(Exception, match="not in the cache"):
+        pipeline.run(texts, pool, config.build(preset="mini", sets=["chunking.P=40", "run.M=1", "llm.mode=replay", "llm.temperature=0.5"]), cache).labels.collect()
+    refresh = config.build(preset="mini", sets=["chunking.P=40", "run.M=1", "llm.mode=refresh"])
+    pipeline.run(texts, pool, refresh, cache, log=log, run_id="c")
+    assert _lines(spark, log).where("run_id = 'c' AND NOT cached").count() > 0 and ledger.read_cache(spark, cache).count() == own.select("cache_key").distinct().count()
+
+
+@pytest.mark.parametrize(
+    "key,value",
+    [
+        ("rewrite.validation.min_length_ratio", "1.5"), ("rewrite.validation.max_length_ratio", "0.7"), ("rewrite.validation.min_content_retention", "0.999"), ("rewrite.max_failed_fraction", "-1.0"),
+        ("classify.otsu_agreement_tol", "-1.0"), ("classify.bimodality_min_separability", "2.0"), ("classify.bimodality_min_gap_ratio", "99.0"), ("profile.structured_output", "false"), ("distance.metric", "fw_freq_cosine"), ("classify.borderline_band", "1.0"),
+    ],
+)
+def test_settings_change_rows(spark, done, key, value):
+    texts, pool = corpus(spark)
+
+    def seen(r):
+        return (
+            sorted(map(str, r.rewrites.select("creation_id", "status", "reason").collect())), sorted(map(str, r.scores.select("creation_id", "score", "unreliable").collect())), str(r.diagnostics.collect()), str(r.cross_check.select("same_gap").collect()),
+            sorted(map(str, r.profiles.collect())), sorted(map(str, r.labels.collect())),
+        )
+
+    sets = ["chunking.P=40", "run.M=2", "rewrite.max_retries=0"]
+    if key == "rewrite.validation.max_length_ratio":
+        sets.append("rewrite.validation.min_length_ratio=0.1")
+    if "base" not in _SEEN:
+        _SEEN["base"] = seen(pipeline.run(texts, pool, config.build(preset="mini", sets=["chunking.P=40", "run.M=2", "rewrite.max_retries=0"])))
+    try:
+        got = seen(pipeline.run(texts, pool, config.build(preset="mini", sets=[*sets, f"{key}={value}"])))
+    except Exception as e:  # no creation is left to be scored
+        assert "threshold needs" in str(e) or "no threshold" in str(e)
+    else:
+        assert got != _SEEN["base"]
+
+
+_SEEN: dict = {}
 
 
 def test_purification_stops_when_the_set_stays(spark):

@@ -68,3 +68,13 @@ def test_dispatch(spark):
         th.threshold(s, "nope")
     with pytest.raises(ValueError):
         th.threshold(s, "manual")
+
+
+def test_scores_that_hardly_differ_are_parted_where_they_differ_most(spark):
+    r = th.otsu_exact(scores(spark, [0.3 + x * 1e-9 for x in (0, 1, 2, 20, 21, 22, 23)])).first()
+    assert r.k == 3
+
+
+def test_equal_scores_have_no_binned_threshold(spark):
+    with pytest.raises(Exception, match="equal scores"):
+        th.otsu_binned(scores(spark, [0.3] * 4)).collect()
