@@ -30,6 +30,7 @@ from itertools import combinations
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,19 +96,33 @@ def left_out(word: str, letters: int) -> set[str]:
     return out
 
 
-def signatures(words: tuple[str, ...], numerals: tuple[str, ...], together: str) -> list[str]:
-    """Strings of which records within two slips of each other share at least one."""
+#: Words up to which single words are signatures.
+FEW_WORDS = 4
+
+
+def _counts(k: int, side: str) -> list[str]:
+    """With which counts of words a record of k words meets those of the other side on a single word, as (words
+    of the evaluation record, words of the training record): counts that a lost space or slipped joining words
+    make of one another. Records of FEW_WORDS words each need none: two of their words are intact."""
+    near = [j for j in range(max(1, k - SLIPS), min(FEW_WORDS, k + SLIPS) + 1) if not j == k == FEW_WORDS]
+    return [f"{k}-{j}" if side == "evaluation" else f"{j}-{k}" for j in near]
+
+
+def signatures(words: tuple[str, ...], numerals: tuple[str, ...], together: str, side: str = "evaluation") -> list[str]:
+    """Strings of which records of the two sides that are within two slips of each other share at least one."""
     n = ",".join(numerals)
     k = len(words)
     if k > 10:  # neighbours in sorted order: two slips break at most six of the seven or more pairs of common words
         parts = {f"{a} {b}" for a, b in zip(words, words[1:])}
     else:
         parts = {f"{a} {b}" for a, b in combinations(words, 2)}
-    if k <= 4:  # four words and three, of which a space was lost and another word slipped, have one in common
-        parts |= {x for w in words for x in (left_out(w, 3 - k) if k < 3 else (w,))}
     if k <= 3:  # lost spaces and a slip in what is run together
         parts |= {f"+{x}" for t in ("".join(words), "".join(reversed(words))) for x in left_out(t, 1)}
-    return [f"{p}|{n}" for p in parts] + [f"={together}"]
+    out = [f"{p}|{n}" for p in parts] + [f"={together}"]
+    if k <= FEW_WORDS:  # four words and three, of which a space was lost and another word slipped, have one in common
+        single = {x for w in words for x in (left_out(w, 3 - k) if k < 3 else (w,))}
+        out += [f"{x}|{n}|{c}" for c in _counts(k, side) for x in single]
+    return out
 
 
 def refined(words: tuple[str, ...], signature: str) -> list[str]:
@@ -118,7 +133,7 @@ def refined(words: tuple[str, ...], signature: str) -> list[str]:
     if signature[0] in "=+":
         return [signature]
     others = list(words)
-    for w in signature.rpartition("|")[0].split(" "):
+    for w in signature.split("|")[0].split(" "):
         if w in others:
             others.remove(w)
     forms = {x for w in others for x in left_out(w, 2 if len(others) == 1 else 1)}
@@ -202,20 +217,27 @@ def pieces(words: tuple[str, ...]) -> list[tuple[int, int, str]]:
     return out
 
 
-def uncovered(parts: list[tuple[int, int, str]], found: set[str]) -> int:
-    """How many pieces of a passage lie in none of the merged intervals of its matched pieces."""
-    merged: list[list[int]] = []
+def coverage(parts: list[tuple[int, int, str]], found: set[str]) -> tuple[list[tuple[int, int]], float]:
+    """The merged intervals of a passage's matched pieces, and the share of its letters that they cover."""
+    merged: list[tuple[int, int]] = []
     for a, b, piece in parts:
         if piece in found:
             if merged and merged[-1][1] == a:
-                merged[-1][1] = b
+                merged[-1] = (merged[-1][0], b)
             else:
-                merged.append([a, b])
-    i = left = 0
-    for a, b, _ in parts:
-        while i < len(merged) and merged[i][1] <= a:
-            i += 1
-        left += not (i < len(merged) and merged[i][0] <= a and b <= merged[i][1])
+                merged.append((a, b))
+    total = sum(b - a for a, b, _ in parts)
+    return merged, sum(b - a for a, b in merged) / total if total else 1.0
+
+
+def uncovered(parts: list[tuple[int, int, str]], found: set[str], most: int) -> int:
+    """How many pieces of a passage lie outside its matched intervals; most + 1 where there are more."""
+    left = 0
+    for _, _, piece in parts:
+        if piece not in found:
+            left += 1
+            if left > most:
+                break
     return left
 
 
@@ -231,8 +253,9 @@ def key_text(name: str | None) -> str | None:
     return "\x1e".join(("\x1f".join(words), "\x1f".join(numerals), together)) if together else None
 
 
-def _scan(evaluation: pd.DataFrame, training: pd.DataFrame) -> list[tuple[str, str]]:
-    """Pairs of keys of one shard: the automaton of its evaluation passages scans its training records."""
+def _scan(evaluation: pd.DataFrame, training: pd.DataFrame) -> list[tuple[str, str, float]]:
+    """Pairs of keys of one shard, and how much of the evaluation passage is covered: the automaton of the
+    shard's evaluation passages scans its training records."""
     if not len(evaluation) or not len(training):
         return []
     held: dict[str, list[str]] = {}
@@ -257,8 +280,8 @@ def _scan(evaluation: pd.DataFrame, training: pd.DataFrame) -> list[tuple[str, s
         found = {piece for _, piece in automaton.iter(key[2])} if len(automaton) else set()
         for other in candidates:
             mine, parts = passages[other]
-            if uncovered(parts, found) <= MOST_PIECES and same_work(mine, key):
-                out.append((other, text))
+            if uncovered(parts, found, MOST_PIECES) <= MOST_PIECES and same_work(mine, key):
+                out.append((other, text, round(coverage(parts, found)[1], 6)))
     return out
 
 
@@ -278,57 +301,69 @@ def records(sources: DataFrame) -> DataFrame:
     return checkpointed(rows.mapInArrow(keys, "decl_order bigint, side string, set_name string, author string, numbers array<bigint>, key string"))
 
 
+def _hash(signature: str) -> int:
+    """A signature as it is shuffled. Two with one hash only bring records together that are then told apart."""
+    return xxhash.xxh3_64_intdigest(signature) - (1 << 63)
+
+
 def _signed(classes: DataFrame, refine: bool) -> DataFrame:
-    """side, key, sig: the signatures of keys, or those that refine the column sig."""
+    """side, id, sig: hashes of the signatures of keys, or of those that refine the hash in column sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for s, text, sig in zip(*(b.column(i).to_pylist() for i in range(3))):
+            sides, ids, sigs = [], [], []
+            for s, i, text, sig in zip(*(b.column(k).to_pylist() for k in range(4))):
                 key = as_key(text)
-                rows += [(s, text, x) for x in (refined(key[0], sig) if refine else signatures(*key))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["side", "key", "sig"])
+                own = signatures(*key, s)
+                if refine:
+                    own = [x for y in own if _hash(y) == sig for x in refined(key[0], y)]
+                sides += [s] * len(own)
+                ids += [i] * len(own)
+                sigs += map(_hash, own)
+            yield pa.RecordBatch.from_arrays([pa.array(sides, pa.string()), pa.array(ids, pa.int64()), pa.array(sigs, pa.int64())], ["side", "id", "sig"])
 
-    return classes.select("side", "key", "sig").mapInArrow(run, "side string, key string, sig string")
+    return classes.select("side", "id", "key", "sig").mapInArrow(run, "side string, id bigint, sig bigint")
 
 
 def _live(signed: DataFrame) -> DataFrame:
-    """Signed keys whose signature both sides hold, with how many hold it on each."""
+    """Signed records whose signature both sides hold, with how many hold it on each."""
     n = signed.groupBy("sig").agg(F.count_if(F.col("side") == "evaluation").alias("n_e"), F.count_if(F.col("side") == "training").alias("n_t"))
     return signed.join(n.where("n_e > 0 AND n_t > 0"), "sig")
 
 
-def same_names(rows: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """key_e, key_t: keys of evaluation and training records (``records``) that name the same work."""
+def same_names(rows: DataFrame, hot_pairs: int = HOT_PAIRS, id_col: str = "decl_order") -> DataFrame:
+    """key_e, key_t, coverage: keys of evaluation and training records (``records``) that name the same work, and how
+    much of the evaluation passage the training record covers. Hashes and
+    ids are shuffled to find who meets whom; keys join those that do."""
     spark = rows.sparkSession
-    signed = _signed(rows.where("key IS NOT NULL").select("side", "key", F.lit("").alias("sig")).distinct(), False)
-    live = checkpointed(_live(signed))
+    named = rows.where("key IS NOT NULL").groupBy("side", "key").agg(F.min(F.coalesce(F.col(id_col), F.xxhash64("key"))).alias("id"))
+    live = checkpointed(_live(_signed(named.withColumn("sig", F.lit(0).cast("bigint")), False)))
     hot = F.col("n_e") * F.col("n_t") > hot_pairs
-    again = _live(_signed(live.where(hot), True))
+    again = _live(_signed(live.where(hot).join(named, ["side", "id"]), True))
     # blocks such that two of them make at most hot_pairs pairs: each evaluation block meets each training block
     side = int(hot_pairs**0.5)
     own, other = (F.when(F.col("side") == "evaluation", F.ceil(F.col(a) / side)).otherwise(F.ceil(F.col(b) / side)) for a, b in (("n_e", "n_t"), ("n_t", "n_e")))
     cold = F.col("n_e") * F.col("n_t") <= hot_pairs
-    mine, all_ = F.when(cold, 0).otherwise(F.pmod(F.xxhash64("key"), own)), F.when(cold, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), other.cast("bigint") - 1))
-    again = again.select("side", "key", "sig", mine.alias("mine"), F.explode(all_).alias("other"))
-    pair = F.when(F.col("side") == "evaluation", F.concat_ws("/", "mine", "other")).otherwise(F.concat_ws("/", "other", "mine"))
-    again = again.select("side", "key", F.concat_ws("#", "sig", pair).alias("sig"))
-    signed = live.where(~hot).select("side", "key", "sig").unionByName(again)
+    mine, all_ = F.when(cold, 0).otherwise(F.pmod(F.xxhash64("id"), own)), F.when(cold, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), other.cast("bigint") - 1))
+    again = again.select("side", "id", "sig", mine.alias("mine"), F.explode(all_).alias("other"))
+    pair = F.when(F.col("side") == "evaluation", F.struct(F.col("mine").alias("a"), F.col("other").alias("b"))).otherwise(F.struct(F.col("other").alias("a"), F.col("mine").alias("b")))
+    again = again.select("side", "id", F.xxhash64("sig", pair).alias("sig"))
+    signed = live.where(~hot).select("side", "id", "sig").unionByName(again)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-live.count() // SHARD_SIGNATURES))
-    signed = signed.withColumn("shard", F.pmod(F.xxhash64("sig"), F.lit(shards)))
+    signed = signed.join(named, ["side", "id"]).withColumn("shard", F.pmod(F.xxhash64("sig"), F.lit(shards)))
 
     def match(evaluation: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_scan(evaluation, training), columns=["key_e", "key_t"])
+        return pd.DataFrame(_scan(evaluation, training), columns=["key_e", "key_t", "coverage"])
 
     # columns of their own for each side
     left, right = (signed.where(F.col("side") == s).select(*[F.col(c).alias(c) for c in ("shard", "key", "sig")]).groupBy("shard") for s in ("evaluation", "training"))
-    return left.cogroup(right).applyInPandas(match, "key_e string, key_t string").distinct()
+    return left.cogroup(right).applyInPandas(match, "key_e string, key_t string, coverage double").distinct()
 
 
 def _linked(rows: DataFrame, id_col: str) -> DataFrame:
     """e, t: ids of evaluation and training rows that name the same work or share a number, each pair once."""
     e, t = (rows.where(F.col("side") == s) for s in ("evaluation", "training"))
-    by_name = same_names(rows).join(e.select(F.col("key").alias("key_e"), F.col(id_col).alias("e")), "key_e").join(t.select(F.col("key").alias("key_t"), F.col(id_col).alias("t")), "key_t").select("e", "t")
+    by_name = same_names(rows, id_col=id_col).drop("coverage").join(e.select(F.col("key").alias("key_e"), F.col(id_col).alias("e")), "key_e").join(t.select(F.col("key").alias("key_t"), F.col(id_col).alias("t")), "key_t").select("e", "t")
     numbers = [x.select(F.col(id_col).alias(c), F.explode("numbers").alias("number")) for x, c in ((e, "e"), (t, "t"))]
     return by_name.unionByName(numbers[0].join(numbers[1], "number").select("e", "t")).distinct()
 
@@ -339,6 +374,15 @@ def cross_split_pairs(sources: DataFrame) -> DataFrame:
     return pairs.select(F.least("e", "t").alias("decl_a"), F.greatest("e", "t").alias("decl_b"))
 
 
+def evaluation_coverage(sources: DataFrame) -> DataFrame:
+    """decl_order, set_name, n_names, coverage of every evaluation row that names a work: how many names of
+    training records name the same, and the most that one of them covers of it (0 where none does)."""
+    rows = records(sources)
+    best = same_names(rows).groupBy(F.col("key_e").alias("key")).agg(F.count(F.lit(1)).alias("n_names"), F.max("coverage").alias("coverage"))
+    own = rows.where("side = 'evaluation' AND key IS NOT NULL").select("decl_order", "set_name", "key").join(best, "key", "left")
+    return own.select("decl_order", "set_name", F.coalesce("n_names", F.lit(0)).cast("bigint").alias("n_names"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+
+
 def overlap_classes(sources: DataFrame) -> DataFrame:
     """decl_order, side, class_id, n_links of every row of a split: rows of a side whose keys and numbers are
     equal are one class (``class_id``: the least decl_order in it), and n_links counts the rows of the other

@@ -7,6 +7,12 @@ from inkwell.llm import overlap as ov
 A = "a_batarn_toumpum_in_flillaxa_floumump"
 
 
+def meet(a, b):
+    """Whether two keys share a signature, whichever is on which side."""
+    e, t = "evaluation", "training"
+    return all(set(ov.signatures(*x, e)) & set(ov.signatures(*y, t)) for x, y in ((a, b), (b, a)))
+
+
 @pytest.mark.parametrize(
     "other,same",
     [
@@ -18,7 +24,7 @@ A = "a_batarn_toumpum_in_flillaxa_floumump"
 def test_same_work(other, same):
     assert ov.same_work(ov.name_key(A), ov.name_key(other)) is same
     if same:
-        assert set(ov.signatures(*ov.name_key(A))) & set(ov.signatures(*ov.name_key(other)))
+        assert meet(ov.name_key(A), ov.name_key(other))
 
 
 def test_parts_and_numerals():
@@ -40,7 +46,7 @@ def test_two_slips_leave_a_shared_signature():
                 other[i] = rng.choice([w[:j] + w[j + 1 :], w[:j] + "z" + w[j:], w[:j] + "z" + w[j + 1 :], w[:j] + w[j + 1] + w[j] + w[j + 2 :]])
             a, b = ov.name_key(" ".join(words)), ov.name_key(" ".join(other))
             if ov.same_work(a, b):
-                assert set(ov.signatures(*a)) & set(ov.signatures(*b)), (a, b)
+                assert meet(a, b), (a, b)
 
 
 def table(rng, n):
@@ -95,7 +101,7 @@ def test_hot_signatures_lose_no_pair(spark, hot):
     df = spark.createDataFrame([(*r, None, None) for r in rows], "decl_order long, id string, set_name string, gutenberg_ids array<int>, author string")
     keys = {n: ov.name_key(n) for _, n, _ in rows}
     want = {(ov.key_text(a[1]), ov.key_text(b[1])) for a in rows for b in rows if a[2] == "heldout" and b[2] == "texts" and ov.same_work(keys[a[1]], keys[b[1]])}
-    assert len(want) > 50 and {tuple(r) for r in ov.same_names(ov.records(df), hot).collect()} == want
+    assert len(want) > 50 and {(r.key_e, r.key_t) for r in ov.same_names(ov.records(df), hot).collect()} == want
 
 
 def test_coverage_keeps_every_pair_of_the_same_work_and_turns_others_away():
@@ -118,7 +124,7 @@ def test_coverage_keeps_every_pair_of_the_same_work_and_turns_others_away():
         for x, y in ((words, other), (other, words)):
             a, b = ov.name_key("_".join(x)), ov.name_key("_".join(y))
             parts = ov.pieces(a[0])
-            left = ov.uncovered(parts, {p for _, _, p in parts if p in b[2]})
+            left = ov.uncovered(parts, {p for _, _, p in parts if p in b[2]}, 99)
             if ov.same_work(a, b):
                 kept += 1
                 assert left <= ov.MOST_PIECES, (a, b)
@@ -136,7 +142,7 @@ def test_a_lost_space_and_a_slip_leave_a_shared_signature():
     rng = random.Random(3)
     accepted = 0
     a, b = ov.name_key("batarn flillaxa toumpum zoumump"), ov.name_key("batarnflillaxa toumpum zoumumk")
-    assert ov.same_work(a, b) and set(ov.signatures(*a)) & set(ov.signatures(*b))
+    assert ov.same_work(a, b) and meet(a, b)
     for k in (2, 3, 4, 5, 6, 8, 9, 10, 11, 12):
         for _ in range(200):
             words = sorted("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 10))) for _ in range(k))
@@ -148,5 +154,44 @@ def test_a_lost_space_and_a_slip_leave_a_shared_signature():
             a, b = ov.name_key(" ".join(words)), ov.name_key(" ".join(other))
             if ov.same_work(a, b):
                 accepted += 1
-                assert set(ov.signatures(*a)) & set(ov.signatures(*b)), (a, b)
+                assert meet(a, b), (a, b)
     assert accepted > 200
+
+
+def test_coverage_merges_intervals():
+    parts = ov.pieces(("batarn", "toumpum"))
+    assert [p for _, _, p in parts] == ["ba", "ta", "rn", "to", "um", "pum"]
+    assert ov.coverage(parts, {"ba", "ta", "pum"}) == ([(0, 4), (10, 13)], 7 / 13) and ov.coverage([], set()) == ([], 1.0) and ov.coverage(parts, set()) == ([], 0.0)
+
+
+def test_coverage_of_evaluation_rows(spark):
+    rows = [(1, A, "heldout"), (2, A.replace("toumpum", "tounpum"), "texts"), (3, A.upper(), "noise_pool"), (4, "quaskexi_brixind_gytylta", "heldout"), (5, None, "heldout"), (6, "x", None)]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "decl_order long, id string, set_name string, gutenberg_ids array<int>, author string")
+    assert {(r.decl_order, r.n_names, r.coverage) for r in ov.evaluation_coverage(df).collect()} == {(1, 2, 1.0), (4, 0, 0.0)}
+
+
+def test_random_names_meet_wherever_they_are_the_same_work():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    kept = 0
+    for _ in range(20000):
+        k = rng.randint(1, 6)
+        words = [word() for _ in range(k)]
+        other = list(words)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            i = rng.randrange(len(other))
+            w = other[i]
+            j = rng.randrange(len(w))
+            other[i] = rng.choice([w[:j] + w[j + 1 :], w[:j] + "z" + w[j:], w[:j] + w[j : j + 2][::-1] + w[j + 2 :]]) or "q"
+        if rng.random() < 0.5 and len(other) > 1:
+            i = rng.randrange(len(other) - 1)
+            other[i : i + 2] = [other[i] + other[i + 1]]
+        if rng.random() < 0.2:
+            other.insert(rng.randrange(len(other) + 1), rng.choice(["thf", "teh", "nad", "fo"]))
+        if rng.random() < 0.5:
+            rng.shuffle(other)
+        a, b = ov.name_key("_".join(words)), ov.name_key("_".join(other))
+        if ov.same_work(a, b):
+            kept += 1
+            assert meet(a, b), (a, b)
+    assert kept > 8000
