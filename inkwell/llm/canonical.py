@@ -207,3 +207,14 @@ def lookalike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
     b = rows.select(F.col("stored").alias("stored_b"), F.col("id").alias("id_b"))
     out = pairs.join(a, "stored_a").join(b, "stored_b")
     return out.select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b"))
+
+
+def lookalike_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id, n_links of every row that shows anything: rows that look the same are one class (``class_id``:
+    its least id), and n_links counts the rows of it whose stored text is another. Counts only: no
+    pair is made, whatever the size of a class."""
+    rows = checkpointed(text_digests(documents, id_col, text_col))
+    texts = rows.groupBy("look", "stored").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_id"))
+    looks = texts.groupBy("look").agg(F.sum("_n").alias("_all"), F.min("_id").alias("class_id"))
+    counted = texts.join(looks, "look").select("look", "stored", "class_id", (F.col("_all") - F.col("_n")).alias("n_links"))
+    return rows.join(counted, ["look", "stored"]).select(F.col("id").alias(id_col), "class_id", "n_links")

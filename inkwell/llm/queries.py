@@ -96,7 +96,11 @@ def p8_canonical(spark, d):
     return canonical.canonical_texts(_documents(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shares, p1_retention, p1_repeated, p2_found, p2_pieces, p3_found, p4_found, p4_sources, p4_prefixes, p5_found, p5_counts, p5_classes, p5_coverage, p6_ids, p7_containers, p7_fill, p8_found, p8_canonical)}
+def p8_classes(spark, d):
+    return canonical.lookalike_classes(_documents(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shares, p1_retention, p1_repeated, p2_found, p2_pieces, p3_found, p4_found, p4_sources, p4_prefixes, p5_found, p5_counts, p5_classes, p5_coverage, p6_ids, p7_containers, p7_fill, p8_found, p8_canonical, p8_classes)}
 
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 

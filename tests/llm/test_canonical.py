@@ -78,6 +78,10 @@ def test_pairs_against_brute_force(spark):
     got = [tuple(r) for r in ca.lookalike_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert ca.lookalike_pairs(df.limit(0)).count() == 0
+    classes = {r.doc_id: r for r in ca.lookalike_classes(df).collect()}
+    assert set(classes) == {i for i, t, _ in rows if t is not None and ca.is_visible(ca.canonical(t))}
+    assert all(r.n_links == sum(i in p for p in want) and r.class_id <= i for i, r in classes.items())
+    assert all(classes[a].class_id == classes[b].class_id for a, b in want)
     out = {r.doc_id: r.canonical_text for r in ca.canonical_texts(df).collect()}
     assert out[4] is None and out[8] == "The cold harbour."
 
