@@ -153,6 +153,11 @@ class SuffixAutomaton:
         return covered
 
 
+def copied_words(passage: list[str], answer: list[str]) -> int:
+    """How many words of an answer are copied from its passage in runs of COPY_RUN words or more."""
+    return SuffixAutomaton(passage).copied(answer, min(COPY_RUN, len(passage), len(answer))) if passage and answer else 0
+
+
 def agreement(passage: list[str], answer: list[str]) -> int:
     """The bits of the passage words at which the longest common subsequence with the
     answer grows. Its highest bit is the end of the least part of the passage that the
@@ -260,11 +265,11 @@ def judged(passage: str | None, answer: str | None) -> tuple[str | None, list[st
     if not a:
         return ("refusal" if refusals_in(b) else None), []
     n, m = len(a), len(b)
-    copied = SuffixAutomaton(a).copied(b, min(COPY_RUN, n, m))
     bits = agreement(a, b)
     agreed = bits.bit_count()
-    # each changed word and the short runs between two of them may be uncovered
-    if copied >= m - 3 * COPY_CHANGES and n - agreed <= COPY_CHANGES and -COPY_CHANGES <= m - n <= 0:
+    # how much is copied is asked where so many words agree that it may be a copy; each changed word and the
+    # short runs between two of them may be uncovered
+    if n - agreed <= COPY_CHANGES and -COPY_CHANGES <= m - n <= 0 and copied_words(a, b) >= m - 3 * COPY_CHANGES:
         return "copy", a[bits.bit_length() :]
     early = m < 0.5 * n
     near = bits & ((1 << min(n, int(1.3 * m) + 4)) - 1) if early else bits
@@ -300,6 +305,29 @@ def _defects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], ["tbl", "row_id", "defect"])
 
 
+def measures(passage: str | None, answer: str | None) -> tuple[float, float, int, int, str | None]:
+    """What the steps measure of a pair: the share of the answer's words that are copied, the share of the passage's
+    that agree in order, refusing cues, delimiters left open, and the language that most stopwords vote for."""
+    b = words(strip_instruction(unwrap(answer)))
+    a = words(passage)
+    agreed = agreement(a, b).bit_count() if a and b else 0
+    return copied_words(a, b) / len(b) if b else 0.0, agreed / len(a) if a else 0.0, len(refusals_in(b)), len(unclosed(answer or "", strings=False)), language_of(b)
+
+
+def pair_measures(pairs: DataFrame) -> DataFrame:
+    """tbl, row_id, copied_share, agreed_share, n_refusing, n_open, language of every pair. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string())
+        for batch in batches:
+            kind, left, right = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            got = [measures(passage_of(a) if k else a, b) for k, a, b in zip(kind, left, right)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i] for x in got], t) for i, t in enumerate(kinds))], ["tbl", "row_id", "copied_share", "agreed_share", "n_refusing", "n_open", "language"])
+
+    cols = pairs.select("tbl", F.col("row_id").cast("bigint").alias("row_id"), "is_prompt", "source", "answer")
+    return spread(cols).mapInArrow(run, "tbl string, row_id bigint, copied_share double, agreed_share double, n_refusing int, n_open int, language string")
+
+
 def pair_defects(pairs: DataFrame) -> DataFrame:
     """pairs: tbl STRING, row_id BIGINT, is_prompt BOOLEAN (``source`` is a prompt that
     holds the passage), source STRING, answer STRING. Gives tbl, row_id, defect of each

@@ -48,6 +48,10 @@ def p3_found(spark, d):
     return pairs.pair_defects(pairs.rewrite_pairs(_rewrites(spark, d), _calls(spark, d)))
 
 
+def p3_measures(spark, d):
+    return pairs.pair_measures(pairs.rewrite_pairs(_rewrites(spark, d), _calls(spark, d)))
+
+
 def p4_found(spark, d):
     return truncation.cut_lines(_calls(spark, d)).where("is_cut").select("call_id")
 
@@ -100,7 +104,7 @@ def p8_classes(spark, d):
     return canonical.lookalike_classes(_documents(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shares, p1_retention, p1_repeated, p2_found, p2_pieces, p3_found, p4_found, p4_sources, p4_prefixes, p5_found, p5_counts, p5_classes, p5_coverage, p6_ids, p7_containers, p7_fill, p8_found, p8_canonical, p8_classes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_shares, p1_retention, p1_repeated, p2_found, p2_pieces, p3_found, p3_measures, p4_found, p4_sources, p4_prefixes, p5_found, p5_counts, p5_classes, p5_coverage, p6_ids, p7_containers, p7_fill, p8_found, p8_canonical, p8_classes)}
 
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 

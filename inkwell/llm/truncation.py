@@ -65,13 +65,10 @@ def json_state(body: str) -> str:
 def judged_line(tag: str | None, prompt: str | None, response: str | None) -> tuple[str, list[str]]:
     """What a line tells by itself: 'whole', 'cut', 'blank' or 'unknown'; and the last words of
     its passage that a whole answer doesn't agree with."""
-    if response is None or is_blank(response):
-        return "blank", []
-    if tag not in ("rewrite", "rewrite_retry"):
-        return json_state(unwrap(response)), []
-    passage = passage_of(prompt)
-    if not passage:
-        return "unknown", []
+    if tag not in ("rewrite", "rewrite_retry") or not (passage := passage_of(prompt)):
+        if response is None or is_blank(response):
+            return "blank", []
+        return (json_state(unwrap(response)) if tag not in ("rewrite", "rewrite_retry") else "unknown"), []
     d, end = judged(passage, response)
     return {"truncated": "cut", "empty": "blank", "refusal": "unknown", "other_language": "unknown"}.get(d, "whole"), end
 

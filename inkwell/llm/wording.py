@@ -54,6 +54,7 @@ def words(text: str | None) -> list[str]:
 
 # --- wrapping: what a generator puts round an answer --------------------------------
 
+_FENCES = ("```", "~~~")
 _FENCE_OPEN = re.compile(r"\A\s*(?:```|~~~)[ \t]*\w*[ \t]*(?:\n|\Z)")
 _FENCE_CLOSE = re.compile(r"(?:\A|\n)[ \t]*(?:```|~~~)[ \t]*\s*\Z")
 _LEAD_WORDS = re.compile(
@@ -61,7 +62,6 @@ _LEAD_WORDS = re.compile(
     r"voici|bien sûr|hier ist|gerne|aquí|claro)\b",
     re.I,
 )
-_LEAD_LINE = re.compile(r"\A\s*([^\n]+?[:\uff1a])[ \t]*(?:\n|\Z)")
 _INSTRUCTION = re.compile(r"\b(?:profile|passage|restyle[ds]?|recast|manner|rewrite|style)\b", re.I)
 _MARKER = re.compile(r"(?:\A|\n)[ \t]*(?:passage[ \t]*:?|text[ \t]*:|-{3,}|={3,})[ \t]*\n", re.I)
 _REMINDER = re.compile(r"\n\s*\n[ \t]*(return|give|answer|reply|respond|output|provide)\b[^\n]*\Z", re.I)
@@ -74,9 +74,16 @@ def unwrap(text: str | None) -> str:
     out, before, led = text.strip(), None, False
     while out != before:
         before = out
-        out = _FENCE_CLOSE.sub("", _FENCE_OPEN.sub("", out)).strip()
-        if not led and (m := _LEAD_LINE.match(out)) and _LEAD_WORDS.search(m.group(1)):
-            led, out = True, out[m.end() :].strip()
+        if out.startswith(_FENCES):
+            out = _FENCE_OPEN.sub("", out)
+        if out.endswith(_FENCES):
+            out = _FENCE_CLOSE.sub("", out)
+        out = out.strip()
+        if not led:
+            head, _, rest = out.partition("\n")
+            head = head.rstrip(" \t")
+            if len(head) > 1 and head.endswith((":", "\uff1a")) and _LEAD_WORDS.search(head):
+                led, out = True, rest.strip()
     return out
 
 

@@ -136,3 +136,16 @@ def test_a_widened_answer_must_come_to_the_last_words_of_a_short_passage():
     ended = PASSAGE.removesuffix(" of the")
     assert pr.defect_of(ended + " and he was not", SOUND.removesuffix(" out of the").replace("hunger", "very hunger indeed") + " yet") == "truncated"
     assert pr.defect_of(ended + " and he was not", SOUND.removesuffix(" out of the") + " yet that one had been nowise") is None
+
+
+def test_measures(spark):
+    r = spark.createDataFrame([(1, PASSAGE, PASSAGE), (2, PASSAGE, "I cannot rewrite this passage (sorry"), (3, PASSAGE, GERMAN), (4, None, None)], "rewrite_id long, original string, rewrite string")
+    c = spark.createDataFrame([], "call_id long, status string, tag string, prompt string, response string")
+    got = {x.row_id: x for x in pr.pair_measures(pr.rewrite_pairs(r, c)).collect()}
+    assert (got[1].copied_share, got[1].agreed_share, got[1].n_refusing) == (1.0, 1.0, 0) and got[2].n_refusing > 0 and got[2].n_open == 1 and got[3].language == "de" and got[3].copied_share < 0.2 and got[4].copied_share == 0.0
+
+
+def test_what_is_copied_decides_between_a_copy_and_a_whole_answer(monkeypatch):
+    assert pr.defect_of(PASSAGE, PASSAGE) == "copy"
+    monkeypatch.setattr(pr, "copied_words", lambda a, b: 0)
+    assert pr.defect_of(PASSAGE, PASSAGE) is None
