@@ -237,4 +237,7 @@ ORACLES |= {
         v AS (SELECT creation_id, chunk_index, c, CASE WHEN n > 0 THEN m::DOUBLE / n ELSE 0 END AS ratio, {_RETENTION} AS ret FROM sets),
         r AS (SELECT creation_id, chunk_index, CASE WHEN c = '' THEN 'empty' WHEN {sq.refuses('c')} THEN 'refusal' WHEN ratio < {lx.MIN_LENGTH_RATIO} THEN 'too_short' WHEN ratio > {lx.MAX_LENGTH_RATIO} THEN 'too_long' WHEN ret < {lx.MIN_CONTENT_RETENTION} THEN 'content_lost' END AS reason FROM v)
         SELECT creation_id, chunk_index, CASE WHEN reason IS NOT NULL THEN 3 WHEN chunk_index % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS attempts, reason IS NULL AS ok, reason FROM r""",
+    "collection_findings": f"""WITH t AS (SELECT count(*) AS n, sum({sq.n_words('text')}) AS w FROM documents), e AS (SELECT sum(expected_words) AS x FROM text_sources)
+        SELECT doc_id::VARCHAR AS id, 'boilerplate' AS finding, 'failure' AS severity FROM documents WHERE contains(lower(text), 'project gutenberg') UNION ALL SELECT '*', 'text_count', 'failure' FROM t WHERE n <> 49
+        UNION ALL SELECT '*', 'total_outside_band', 'warning' FROM t, e WHERE abs(w - x) > x * 0.15::DOUBLE""",
 }

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import chunking, collection, distance, experiments, ingest, ledger, packing, reports, rewriting, sampling, scoring, thresholds
@@ -107,6 +108,13 @@ def manifest_reconcile(t):
     return collection.reconciled(t.text_sources, recorded, found)
 
 
+@query
+def collection_findings(t):
+    """The collection as a whole: number of texts, the band round the declared total, boilerplate left in a text."""
+    texts = t.documents.select(F.col("doc_id").cast("string").alias("creation_id"), "text")
+    return collection.collection_findings(texts, 49, t.text_sources.select("expected_words"))
+
+
 @query
 def join_titles(t):
     return reports.with_titles(t.documents.select("doc_id", "creation_id"), t.text_sources)
@@ -679,6 +687,15 @@ def model_comparison(t):
     return reports.model_comparison(t.calls)
 
 
+@query
+def compare_models(t):
+    """Two offline models asked for one shared sample of twenty chunks, side by side. The sample is the feature."""
+    from . import pipeline
+
+    texts = t.documents.select(F.col("doc_id").cast("string").alias("creation_id"), "text")
+    return pipeline.comparison_summary(pipeline.compare(texts, ["fake", "fake_sql"], config.build(environ={}), size=20))
+
+
 @query
 def delta_by_run(t):
     return reports.delta_comparison(_deltas(t), "run_index")

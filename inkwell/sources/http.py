@@ -8,7 +8,8 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Where the files of a number may lie.
 MIRRORS = (
@@ -55,3 +56,48 @@ def fetched(numbers: DataFrame, opener: Callable[[str, float], bytes] = _open, t
             yield pd.DataFrame(out, columns=["number", "text", "error"])
 
     return numbers.select("number").distinct().repartition(tasks).mapInPandas(run, "number int, text string, error string")
+
+
+class _Numbers(InputPartition):
+    def __init__(self, numbers: list[int]) -> None:
+        self.numbers = numbers
+
+
+class _MirrorReader(DataSourceReader):
+    def __init__(self, numbers: list[int], tasks: int, opener: Callable[[str, float], bytes]) -> None:
+        self.numbers, self.tasks, self.opener = numbers, max(1, tasks), opener
+
+    def partitions(self) -> list[_Numbers]:
+        return [_Numbers(self.numbers[i :: self.tasks]) for i in range(min(self.tasks, len(self.numbers) or 1))]
+
+    def read(self, partition: _Numbers) -> Iterator[tuple]:
+        for n in partition.numbers:
+            try:
+                yield n, fetch_text(n, self.opener), None
+            except OSError as e:
+                yield n, None, str(e)
+
+
+class MirrorSource(DataSource):
+    """``spark.read.format("inkwell_mirrors").option("numbers", "10,11").load()``: number, text, error of each
+    number once, read by ``tasks`` tasks (default 2: the mirrors are not to be hurried). For lists that fit an
+    option; for a table of numbers, ``fetched``."""
+
+    #: What opens a URL; tests put another in its place.
+    opener: Callable[[str, float], bytes] = staticmethod(_open)
+
+    @classmethod
+    def name(cls) -> str:
+        return "inkwell_mirrors"
+
+    def schema(self) -> str:
+        return "number int, text string, error string"
+
+    def reader(self, schema) -> _MirrorReader:
+        numbers = sorted({int(x) for x in self.options.get("numbers", "").split(",") if x.strip()})
+        return _MirrorReader(numbers, int(self.options.get("tasks", "2")), type(self).opener)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the source known to a session."""
+    spark.dataSource.register(MirrorSource)

@@ -262,3 +262,13 @@ def test_fetching_asks_only_for_what_is_not_there(spark, tmp_path):
     assert texts.missing_numbers(numbers, texts.read_raw_cache(spark, folder)).count() == 3
     spark.createDataFrame([(1, "t", None), (2, None, "down")], "number int, text string, error string").write.parquet(folder)
     assert sorted(r[0] for r in texts.missing_numbers(numbers, texts.read_raw_cache(spark, folder)).collect()) == [2, 3]
+
+
+def test_mirrors_as_a_data_source(spark):
+    class Fake(http.MirrorSource):
+        opener = staticmethod(lambda url, timeout: f"text of {url[-10:]}".encode() if "/7/" not in url else b"\xff")
+
+    spark.dataSource.register(Fake)
+    got = {r.number: r for r in spark.read.format("inkwell_mirrors").option("numbers", "5, 6,5").load().collect()}
+    assert set(got) == {5, 6} and got[5].text.startswith("text of") and got[6].error is None
+    assert spark.read.format("inkwell_mirrors").load().count() == 0
