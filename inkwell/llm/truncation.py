@@ -46,6 +46,8 @@ _LAST = "\U0010ffff"
 _NO_WORD = re.compile(r"[\W_]")
 #: Keys over which the beginnings of all values are dealt.
 SALTS = 64
+#: Blocks that a task hands on at a time, so that a batch of long texts fits in memory.
+ROWS_AT_A_TIME = 20_000
 #: Characters of a longer copy that are kept of what follows a value: two words of it are looked at.
 AHEAD = 40
 _LIMIT_REASONS = ("length", "max_tokens", "max_output_tokens", "token_limit")
@@ -118,6 +120,9 @@ def longer_copies(texts: DataFrame, form=None) -> DataFrame:
             found = {form(t) if form else t for t in set(b.column(0).to_pylist()) if t}
             rows, short = [], set()
             for v in found:
+                if len(rows) >= ROWS_AT_A_TIME:
+                    yield _rows(rows)
+                    rows = []
                 for before, text, full in blocks(v)[0] if v else ():
                     n = len(text) if len(text) <= full else None  # else the value goes on
                     if before:
@@ -125,8 +130,10 @@ def longer_copies(texts: DataFrame, form=None) -> DataFrame:
                     else:
                         rows.append((bytes([zlib.crc32(text.encode("utf-8", "surrogatepass")) % SALTS]), text, None))
                         short.add(n)
-            rows += [(bytes([k]), None, n) for n in short - {None} for k in range(SALTS)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.int32())], ["at", "text", "n"])
+            yield _rows(rows + [(bytes([k]), None, n) for n in short - {None} for k in range(SALTS)])
+
+    def _rows(rows: list[tuple[bytes, str | None, int | None]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.binary(), pa.string(), pa.int32()))], ["at", "text", "n"])
 
     def following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
