@@ -240,4 +240,5 @@ ORACLES |= {
     "collection_findings": f"""WITH t AS (SELECT count(*) AS n, sum({sq.n_words('text')}) AS w FROM documents), e AS (SELECT sum(expected_words) AS x FROM text_sources)
         SELECT doc_id::VARCHAR AS id, 'boilerplate' AS finding, 'failure' AS severity FROM documents WHERE contains(lower(text), 'project gutenberg') UNION ALL SELECT '*', 'text_count', 'failure' FROM t WHERE n <> 49
         UNION ALL SELECT '*', 'total_outside_band', 'warning' FROM t, e WHERE abs(w - x) > x * 0.15::DOUBLE""",
+    "band_counts": f"WITH {_OTSU}, v AS (SELECT creation_id, round(score * 1000000)::BIGINT AS v FROM s) SELECT a.creation_id, count(*) - 1 AS n_near FROM v a JOIN v b ON abs(a.v - b.v) <= 500 GROUP BY a.creation_id",
 }

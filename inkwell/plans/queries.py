@@ -574,6 +574,18 @@ def band_join(t):
     return a.join(b, "b").where((F.abs(F.round("score", 6) - F.round("other", 6)) <= width) & (F.col("creation_id") < F.col("other_id"))).select("creation_id", "other_id")
 
 
+@query
+def band_counts(t):
+    """How many other creations' scores lie within the band of each creation's: ``band_join`` counted. Equal scores are
+    folded, and scores have six places, so a bucket holds at most 500 of them however many creations share one."""
+    s = thresholds.scorable(_kept_scores(t)).select("creation_id", F.round(F.col("score") * 1_000_000).cast("bigint").alias("v"))
+    width = 500
+    values = checkpointed(s.groupBy("v").agg(F.count(F.lit(1)).alias("n"))).withColumn("b", F.floor(F.col("v") / width))
+    near = values.select(F.col("v").alias("w"), "n", F.explode(F.array(*[F.col("b") + d for d in (-1, 0, 1)])).alias("b"))
+    sums = values.select("v", "b").join(near, "b").where(F.abs(F.col("v") - F.col("w")) <= width).groupBy("v").agg(F.sum("n").alias("n"))
+    return s.join(sums, "v").select("creation_id", (F.col("n") - 1).alias("n_near"))
+
+
 @query
 def set_delta(t):
     return experiments.set_delta(_declared(t, "texts"), _declared(t, "heldout", "mixture_sources"))
