@@ -364,8 +364,19 @@ def _linked(rows: DataFrame, id_col: str) -> DataFrame:
     """e, t: ids of evaluation and training rows that name the same work or share a number, each pair once."""
     e, t = (rows.where(F.col("side") == s) for s in ("evaluation", "training"))
     by_name = same_names(rows, id_col=id_col).drop("coverage").join(e.select(F.col("key").alias("key_e"), F.col(id_col).alias("e")), "key_e").join(t.select(F.col("key").alias("key_t"), F.col(id_col).alias("t")), "key_t").select("e", "t")
-    numbers = [x.select(F.col(id_col).alias(c), F.explode("numbers").alias("number")) for x, c in ((e, "e"), (t, "t"))]
-    return by_name.unionByName(numbers[0].join(numbers[1], "number").select("e", "t")).distinct()
+    return by_name.unionByName(_shared_numbers(rows, id_col)).distinct()
+
+
+def _shared_numbers(rows: DataFrame, id_col: str) -> DataFrame:
+    """e, t: ids of evaluation and training rows that share a number, once for each number."""
+    e, t = (rows.where(F.col("side") == s).select(F.col(id_col).alias(c), F.explode("numbers").alias("number")) for s, c in (("evaluation", "e"), ("training", "t")))
+    return e.join(t, "number").select("e", "t")
+
+
+def number_pairs(sources: DataFrame) -> DataFrame:
+    """decl_a < decl_b of training and evaluation rows that share a number."""
+    pairs = _shared_numbers(records(sources), "decl_order").distinct()
+    return pairs.select(F.least("e", "t").alias("decl_a"), F.greatest("e", "t").alias("decl_b"))
 
 
 def cross_split_pairs(sources: DataFrame) -> DataFrame:
