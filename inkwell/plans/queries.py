@@ -166,6 +166,14 @@ def composite_docs(t):
     return ingest.merged_reports(parts)
 
 
+@query
+def composite_texts(t):
+    """Texts of the declared composites (creations of several numbers), assembled from their parts in order."""
+    declared = collection.declarations(t.text_sources).where(F.size("gutenberg_ids") > 1).select(F.col("id").alias("creation_id"))
+    parts = t.documents.select("doc_id", "creation_id", "text").join(declared, "creation_id", "left_semi")
+    return ingest.composed(parts, "doc_id").select("creation_id", F.sha2("text", 256).alias("text_sha"), "n_parts")
+
+
 @query
 def word_count(t):
     return t.chunks.select("creation_id", "chunk_index", tx.n_words(F.col("text")).alias("n_words"))
