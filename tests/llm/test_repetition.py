@@ -62,7 +62,7 @@ def test_viterbi_is_the_best_labelling(margins):
 
 def test_fresh_lines_are_content_wherever_they_stand():
     # why a text without a repeated run need not be decoded
-    fresh = max(rp.WEIGHTS[i] for i in range(3)) + max(rp.WEIGHTS[i] for i in (9,)) + sum(max(0, rp.WEIGHTS[i]) for i in range(15, 20))
+    fresh = max(rp.WEIGHTS[i] for i in range(3)) + max(rp.WEIGHTS[i] for i in (9,)) + sum(max(0, rp.WEIGHTS[i]) for i in range(15, len(rp.WEIGHTS)))
     for n in range(1, 6):
         assert rp.viterbi([fresh] * n) == [0] * n
 
