@@ -17,12 +17,14 @@ from ..session import checkpointed
 @dataclass(frozen=True)
 class Provider:
     """What answers prompts: ``call`` a request (a dict of its fields) at a time, as a remote model does, or ``columns``
-    an expression over the prompt and the passage. With the model it takes by default, and its window."""
+    an expression over the prompt and the passage. With the model it takes by default, and its window. A ``local`` one
+    sends nothing, so it is asked without regard to rates."""
 
     call: Callable[[dict], str] | None = None
     columns: Callable[[Column, Column], Column] | None = None
     model_id: str = ""
     context_window: int = 1_000_000
+    local: bool = False
 
 
 def _offline_profile(prompt: Column) -> Column:
@@ -43,8 +45,8 @@ def _answers_by_hash(prompt: Column, passage: Column) -> Column:
 
 
 PROVIDERS: dict[str, Provider] = {
-    "fake": Provider(_offline_answer, rewriting.seeded_rewrite, "offline-seeded"),
-    "fake_sql": Provider(None, _answers_by_hash, "offline-hashed"),
+    "fake": Provider(_offline_answer, rewriting.seeded_rewrite, "offline-seeded", local=True),
+    "fake_sql": Provider(None, _answers_by_hash, "offline-hashed", local=True),
 }
 
 
@@ -90,8 +92,8 @@ class Calls:
         if own.call is None:
             raise ValueError(f"provider {m['provider']!r} answers in plans only: it takes no cache")
         out = ledger.answered(
-            df.withColumns(fields), own.call, identity, mode=m["mode"], cache=self.cache, log=self.log, run_id=self.run_id, concurrency=m["concurrency"], per_minute=m["requests_per_minute"],
-            tokens_per_minute=m["tokens_per_minute"], retries=m["max_transient_retries"], timeout=m["timeout_seconds"],
+            df.withColumns(fields), own.call, identity, mode=m["mode"], cache=self.cache, log=self.log, run_id=self.run_id, concurrency=m["concurrency"],
+            per_minute=1e12 if own.local else m["requests_per_minute"], tokens_per_minute=1e15 if own.local else m["tokens_per_minute"], retries=m["max_transient_retries"], timeout=m["timeout_seconds"],
         )
         # what replay may not call stops the run; any other failure is a row without an answer
         answer = F.when(F.col("error_class") == "CacheMissError", F.raise_error(F.col("error")).cast("string")).otherwise(F.col("response"))

@@ -160,3 +160,14 @@ def test_purification_stops_when_the_set_stays(spark):
     r, rounds = pipeline.purified(texts, pool, config.build(preset="mini", sets=["chunking.P=40", "run.M=1", "purification.T_max=3"]))
     assert 2 <= len(rounds) <= 3 and rounds[0]["left"] == 0 and r.labels.count() == 6
     assert len(rounds) == 3 or rounds[-1]["left"] + rounds[-1]["joined"] == 0
+
+
+def test_rates_hold_for_remote_providers_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pipeline.ledger, "answered", lambda df, *a, **k: seen.append((k["per_minute"], k["tokens_per_minute"], k["concurrency"], k["retries"], k["timeout"])) or df.withColumns({"response": F.lit("x"), "error_class": F.lit(""), "error": F.lit("")}))
+    monkeypatch.setitem(pipeline.PROVIDERS, "far", pipeline.Provider(_broken))
+    df = spark.createDataFrame([(1, "p", "o")], "n int, prompt string, original string")
+    for name in ("far", "fake"):
+        settings = config.build(sets=[f"llm.provider={name}", "llm.requests_per_minute=7", "llm.tokens_per_minute=70", "llm.concurrency=3", "llm.max_transient_retries=2", "llm.timeout_seconds=9"])
+        assert pipeline.Calls(settings, cache="unused").ask(df, "rewrite", ("n",), 5).first().response == "x"
+    assert seen == [(7, 70, 3, 2, 9), (1e12, 1e15, 3, 2, 9)]
