@@ -23,12 +23,16 @@ def chunk_deltas(rewrites: DataFrame, distance: str = "fwed", rules: Mapping | N
     return out.select("run_index", "creation_id", "chunk_index", "status", "reason", F.when(ok, F.col("delta")).otherwise(0.0).alias("delta"), "n_words", (ok & F.col("degenerate")).alias("degenerate"))
 
 
+#: Places that means are rounded to, so that they are the same whatever the order in which tasks' sums arrive.
+PLACES = 12
+
+
 def run_scores(deltas: DataFrame) -> DataFrame:
     """Scores by run and creation: means over chunks that are ok, null where none is. Partial sums
     are made before the shuffle, so a creation of any number of chunks is a row a task."""
     ok = F.col("status") == "ok"
     out = deltas.groupBy("run_index", "creation_id").agg(
-        F.avg(F.when(ok, F.col("delta"))).alias("mean_delta"), F.count(F.lit(1)).alias("n_total"), F.count_if(ok).alias("n_used"), F.count_if(~ok).alias("n_failed"), F.count_if(ok & F.col("degenerate")).alias("n_degenerate"),
+        F.round(F.avg(F.when(ok, F.col("delta"))), PLACES).alias("mean_delta"), F.count(F.lit(1)).alias("n_total"), F.count_if(ok).alias("n_used"), F.count_if(~ok).alias("n_failed"), F.count_if(ok & F.col("degenerate")).alias("n_degenerate"),
         F.sum(F.when(ok, F.col("delta") * F.col("n_words"))).alias("_dw"), F.sum(F.when(ok, F.col("n_words"))).alias("_w"),
     )
     out = out.withColumn("length_weighted_mean", F.expr("_dw / nullif(_w, 0)")).drop("_dw", "_w")
@@ -39,7 +43,7 @@ def creation_scores(runs: DataFrame, max_failed: float = MAX_FAILED_FRACTION) ->
     """Scores over runs: mean and sample deviation of the runs that were scored (no deviation
     for one), and whether a score is to be trusted."""
     out = runs.groupBy("creation_id").agg(
-        F.avg("mean_delta").alias("score"), F.stddev_samp("mean_delta").alias("score_std"), F.count("mean_delta").alias("n_runs_scored"), F.count(F.lit(1)).alias("n_runs"), F.max("failed_fraction").alias("worst_failed"),
+        F.round(F.avg("mean_delta"), PLACES).alias("score"), F.stddev_samp("mean_delta").alias("score_std"), F.count("mean_delta").alias("n_runs_scored"), F.count(F.lit(1)).alias("n_runs"), F.max("failed_fraction").alias("worst_failed"),
         F.avg("length_weighted_mean").alias("length_weighted_score"), F.max(F.struct(-F.col("run_index"), "n_total"))["n_total"].alias("n_chunks"),
         F.array_sort(F.collect_list(F.struct("run_index", "mean_delta"))).alias("per_run"),
     )
