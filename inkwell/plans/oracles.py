@@ -243,4 +243,5 @@ ORACLES |= {
     "band_counts": f"WITH {_OTSU}, v AS (SELECT creation_id, round(score * 1000000)::BIGINT AS v FROM s) SELECT a.creation_id, count(*) - 1 AS n_near FROM v a JOIN v b ON abs(a.v - b.v) <= 500 GROUP BY a.creation_id",
     "composite_texts": f"""WITH {_DECL}, k AS (SELECT DISTINCT id FROM decl WHERE len(gutenberg_ids) > 1)
         SELECT creation_id, sha256(string_agg({sq.strip("coalesce(text, '')")}, chr(10) || chr(10) ORDER BY doc_id)) AS text_sha, count(*) AS n_parts FROM documents WHERE creation_id IN (SELECT id FROM k) GROUP BY creation_id""",
+    "edit_script_sizes": f"WITH {_ENC} SELECT rewrite_id, levenshtein(a, b) AS edits, length(b) - length(a) AS grown FROM enc WHERE levenshtein(a, b) > 0",
 }

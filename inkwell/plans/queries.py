@@ -268,6 +268,13 @@ def fwed_edit_script(t):
     return distance.edit_scripts(_encoded_rewrites(t), "rewrite_id")
 
 
+@query
+def edit_script_sizes(t):
+    """How many edits each pair's script has, by kind: as many in all as the distance counts."""
+    e = distance.edit_scripts(_encoded_rewrites(t), "rewrite_id")
+    return e.groupBy("rewrite_id").agg(F.count(F.lit(1)).alias("edits"), (F.count_if(F.col("op") == "insert") - F.count_if(F.col("op") == "delete")).alias("grown"))
+
+
 # --- packing, noise, samples --------------------------------------------------------------
 
 
