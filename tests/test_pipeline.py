@@ -126,7 +126,7 @@ def test_a_run_writes_its_cache_and_lines_and_the_next_one_calls_nothing(spark,
 @pytest.mark.parametrize(
     "key,value",
     [
-        ("rewrite.validation.min_length_ratio", "1.5"), ("rewrite.validation.max_length_ratio", "0.7"), ("rewrite.validation.min_content_retention", "0.999"), ("rewrite.max_failed_fraction", "-1.0"),
+        ("rewrite.validation.min_length_ratio", "1.5"), ("rewrite.validation.max_length_ratio", "0.7"), ("rewrite.validation.min_content_retention", "1.1"), ("rewrite.max_failed_fraction", "-1.0"),
         ("classify.otsu_agreement_tol", "-1.0"), ("classify.bimodality_min_separability", "2.0"), ("classify.bimodality_min_gap_ratio", "99.0"), ("profile.structured_output", "false"), ("distance.metric", "fw_freq_cosine"), ("classify.borderline_band", "1.0"),
     ],
 )
